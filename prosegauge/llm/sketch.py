@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 SEGMENT_BYTES = 1 << 18
-MAX_CELLS = 1 << 26
+MAX_CELLS = 1 << 27
 SKETCH_SCHEMA = "segment int, plane_once binary, plane_twice binary"
 
 
@@ -41,46 +41,74 @@ def cell_numbers(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
 
 
 class Builder:
-    """Sketch of one partition; a byte for each cell while it is built."""
+    """Sketch of one partition, two bits for each cell and row."""
+
+    HELD = 1 << 19
 
     def __init__(self, cells: int, rows: int):
         self.cells, self.rows = cells, rows
-        self.once = np.zeros((rows, cells), dtype=bool)
-        self.twice = np.zeros((rows, cells), dtype=bool)
+        self.once = np.zeros((rows, cells // 8), dtype=np.uint8)
+        self.twice = np.zeros((rows, cells // 8), dtype=np.uint8)
+        self.held: list[np.ndarray] = []
+        self.n_held = 0
 
     def add(self, keys: np.ndarray) -> None:
+        self.held.append(keys)
+        self.n_held += len(keys)
+        if self.n_held >= self.HELD:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.n_held:
+            return
+        keys = np.concatenate(self.held)
+        self.held, self.n_held = [], 0
         for row in range(self.rows):
             at = np.sort(cell_numbers(keys, row, self.cells))
-            once, twice = self.once[row], self.twice[row]
-            twice[at[once[at]]] = True
-            twice[at[1:][at[1:] == at[:-1]]] = True
-            once[at] = True
+            new = np.concatenate([[True], at[1:] != at[:-1]])
+            byte, bits = _bits(at[new])
+            old = self.once[row][byte]
+            self.twice[row][byte] |= old & bits
+            self.once[row][byte] = old | bits
+            byte, bits = _bits(at[~new])
+            self.twice[row][byte] |= bits
 
     def segments(self) -> Iterator[pa.RecordBatch]:
-        """Packed, compressed pieces; pieces without a hit are left out."""
-        packer = zstandard.ZstdCompressor(level=1)
-        step = min(SEGMENT_BYTES * 8, self.cells)
+        """Compressed pieces; pieces without a hit are left out."""
+        self.flush()
+        pack = zstandard.ZstdCompressor(level=1).compress
+        step = min(SEGMENT_BYTES, self.cells // 8)
         for row in range(self.rows):
-            for k in range(self.cells // step):
+            for k in range(self.cells // 8 // step):
                 once = self.once[row, k * step : (k + 1) * step]
                 if once.any():
                     twice = self.twice[row, k * step : (k + 1) * step]
                     yield pa.RecordBatch.from_pydict(
                         {
-                            "segment": pa.array([row * (self.cells // step) + k], pa.int32()),
-                            "plane_once": [packer.compress(np.packbits(once).tobytes())],
-                            "plane_twice": [packer.compress(np.packbits(twice).tobytes())],
+                            "segment": pa.array([row * (self.cells // 8 // step) + k], pa.int32()),
+                            "plane_once": [pack(once.tobytes())],
+                            "plane_twice": [pack(twice.tobytes())],
                         }
                     )
 
 
+def _bits(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of sorted cell numbers, each once, and their bits there."""
+    byte = at >> np.uint32(3)
+    if not len(at):
+        return byte, np.empty(0, np.uint8)
+    begins = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+    bits = np.uint8(128) >> (at & np.uint32(7)).astype(np.uint8)
+    return byte[begins], np.bitwise_or.reduceat(bits, begins)
+
+
 def merged(partials: DataFrame, cells: int, rows: int) -> np.ndarray:
     """The packed ``twice`` planes of all partitions, ``rows`` x ``cells / 8``.
 
     Segments are merged on the executors; the driver receives each segment
     once, that is ``rows * cells / 8`` bytes at most.
     """
-    step = min(SEGMENT_BYTES * 8, cells)
+    step = min(SEGMENT_BYTES * 8, cells)  # cells of a segment
     pieces = rows * (cells // step)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
