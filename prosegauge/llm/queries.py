@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import decontamination, line_dedup, mixing, simhash, substring_dedup
+from prosegauge.llm import (
+    decontamination,
+    fingerprints,
+    language_id,
+    licenses,
+    line_dedup,
+    mixing,
+    quality,
+    simhash,
+    substring_dedup,
+    token_counts,
+)
 from prosegauge.runtime import table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,11 +79,31 @@ FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN e ON d.source
 """
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs, width=3, radius=3, segments=2)
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.with_neighbours(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _remainder(of: int):
+    return F.crc32(F.col("doc_id").cast("string")) % of
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.learn(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), usable=_remainder(3) != 1)
+    scored = quality.score(docs, model)
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
@@ -102,6 +133,17 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as files of a tree: ``source/shelf/box/name``, the first of
+    every hundred ids of a source's box a LICENSE file."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    shelf = F.when(F.col("doc_id") % 200 == 0, F.lit(None)).otherwise(F.concat(F.lit("s"), F.floor(F.col("doc_id") / 1000).cast("string")))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), shelf, name)
+    files = docs.select("doc_id", path.alias("path"), "text")
+    return licenses.scan_licenses(files).select("doc_id", "path", "own_license", "own_cosine", "license", "license_from")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.dedup_substrings(docs, window=35).select(
@@ -123,13 +165,25 @@ FROM d LEFT JOIN kept USING (doc_id)
 """
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.where(_remainder(4) != 2))
+    found = language_id.identify(docs.select("doc_id", "text"), model, min_margin=0.0)
+    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_mixing": op2_mixing,
+        "op3_token_counts": op3_token_counts,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
+        "op5_fingerprints": op5_fingerprints,
+        "op6_quality": op6_quality,
         "op7_decontamination": op7_decontamination,
+        "op8_licenses": op8_licenses,
         "op9_substring_dedup": op9_substring_dedup,
+        "op10_language_id": op10_language_id,
     }
 
 
