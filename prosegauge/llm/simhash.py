@@ -18,6 +18,14 @@ fingerprints of a bucket beyond ``block`` are dealt to several tasks, against
 each of which all members of the bucket are verified in chunks, so a task holds
 ``block`` fingerprints however large the bucket is, and no link is lost.
 
+``similar_documents`` links texts whose sets of word shingles have a Jaccard
+similarity of ``similarity`` or more.  Its fingerprints have 128 bits in eight
+segments; two texts at a similarity of 0.8 differ in some 19 bits, and share a
+segment but for one bit with probability 0.93 (0.975 at 0.85, 0.995 at 0.9).
+Candidates within 30 bits are verified by their sets.  Each text offers, from
+every bucket, its nearest candidate with a smaller id; after the nearest of all
+are verified, only candidates between different components are.
+
 Defined cases: a null or empty text, or one without words, has fingerprint 0 and
 links like any other; a text of fewer words than the shingle has one shingle of
 all its words; rows that repeat a ``doc_id`` are one document in links; a null
@@ -101,89 +109,118 @@ def linked(near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return root, has, member[has]
 
 
-def links(nodes: DataFrame, *, radius: int = 3, segments: int = 2, block: int = 4096) -> DataFrame:
-    """Edges ``a``, ``b`` between ``rep`` of distinct ``fp`` within ``radius``:
-    for every bucket a spanning forest of its links."""
-    if radius > 2 * segments - 1 or 64 % segments:
-        raise ValueError("radius must be under 2 * segments, and segments divide 64")
-    size = 64 // segments
-    mask = (1 << size) - 1
+def nearest(apart: np.ndarray, near: np.ndarray, filed: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each one of a bucket its nearest with a smaller id: ids, nearest
+    ids, distances."""
+    out = []
+    for down in (True, False):
+        allowed = near & ((filed[:, None] < member[None, :]) if down else (filed[:, None] > member[None, :]))
+        gap = np.where(allowed, apart, 255)
+        at = gap.argmin(axis=0 if down else 1)
+        own, other = (member, filed) if down else (filed, member)
+        least = gap.min(axis=0 if down else 1)
+        has = least < 255
+        out.append((own[has], other[at[has]], least[has]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def links(
+    nodes: DataFrame, *, radius: int = 3, segments: int = 2, block: int = 4096, words: int = 1, forest: bool = True
+) -> DataFrame:
+    """Edges ``a``, ``b`` between ``rep`` of distinct fingerprints within ``radius``.
+
+    Fingerprints have ``words`` columns ``fp0``, ``fp1``... of 64 bits.  For every
+    bucket a spanning forest of its links (which is exact for a radius under
+    ``2 * segments``), or else each one's nearest with a smaller id, and ``apart``.
+    """
+    size = 64 * words // segments
+    if 64 % size or (forest and radius > 2 * segments - 1):
+        raise ValueError("segments must divide words, and radius be under 2 * segments")
+    mask, prints = (1 << size) - 1, [f"fp{k}" for k in range(words)]
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
-                fp = part.column(0).to_numpy(zero_copy_only=False)
-                n = len(fp)
+                values = [c.to_numpy(zero_copy_only=False) for c in part.columns]
                 for s in range(segments):
-                    key = (fp.view(np.uint64) >> np.uint64(s * size)) & np.uint64(mask)
-                    flipped = [key] + [np.where(key >> np.uint64(i) & np.uint64(1), key, key | np.uint64(1 << i)) for i in range(size)]
-                    take = np.concatenate([[True] * n] + [f != key for f in flipped[1:]])
-                    role = np.repeat([0] + [1] * size, n)[take].astype(np.int8)
+                    of, shift = divmod(s * size, 64)
+                    key = (values[of].view(np.uint64) >> np.uint64(shift)) & np.uint64(mask)
+                    flipped = [key] + [key | np.uint64(1 << i) for i in range(size)]
+                    take = np.concatenate([[True] * len(key)] + [f != key for f in flipped[1:]])
+                    role = np.repeat([0] + [1] * size, len(key))[take].astype(np.int8)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array((np.concatenate(flipped)[take] * np.uint64(segments) + np.uint64(s)).view(np.int64)),
                             pa.array(role),
-                            pa.array(np.tile(fp, size + 1)[take]),
-                            pa.array(np.tile(part.column(1).to_numpy(zero_copy_only=False), size + 1)[take]),
+                            *(pa.array(np.tile(v, size + 1)[take]) for v in values),
                         ],
-                        names=["bucket", "role", "fp", "rep"],
+                        names=["bucket", "role", *prints, "rep"],
                     )
 
-    filed = nodes.select(
-        F.explode(
-            F.array(*[F.shiftrightunsigned("fp", s * size).bitwiseAND(F.lit(mask)) * segments + s for s in range(segments)])
-        ).alias("bucket")
+    keys = [
+        F.shiftrightunsigned(f"fp{s * size // 64}", s * size % 64).bitwiseAND(F.lit(mask)) * segments + s for s in range(segments)
+    ]
+    filed = nodes.select(F.explode(F.array(*keys)).alias("bucket"))
+    large = cut(
+        filed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
     )
-    large = cut(filed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
-    rows = nodes.select("fp", "rep").mapInArrow(expand, "bucket long, role byte, fp long, rep long")
+    of_print = ", ".join(f"{p} long" for p in prints)
+    rows = nodes.select(*prints, "rep").mapInArrow(expand, f"bucket long, role byte, {of_print}, rep long")
     if large.isEmpty():
         rows = rows.withColumn("part", F.lit(0))
     else:
         rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        own = rows.where("role = 0").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        own = rows.where("role = 0").withColumn("part", F.pmod(F.xxhash64(*prints), F.col("blocks")).cast("int"))
         met = rows.where("role = 1 or blocks > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = own.unionByName(met.withColumn("role", F.lit(1).cast("byte"))).drop("blocks")
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, filed_fp, filed_rep = None, np.empty(0, np.uint64), np.empty(0, np.int64)
+        last, held, held_rep = None, [np.empty(0, np.uint64)] * words, np.empty(0, np.int64)
         for batch in batches:
-            bucket, part, role, fp, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-            fp = fp.view(np.uint64)
-            if not len(fp):
+            bucket, part, role, rep, *fp = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            fp = [x.view(np.uint64) for x in fp]
+            if not len(rep):
                 continue
             cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
-            begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(fp)]])
-            a, b = [], []
-            inner = last is None or (bucket[0], part[0]) != last
-            # a bucket without a filed fingerprint, or with one only, links nothing; the first and last may go on
+            begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(rep)]])
+            found: list[tuple] = []
+            # a bucket of one, or without a filed fingerprint, links nothing; the first and the last may go on
             worth = (ends - begins > 1) & (role[begins] == 0)
-            worth[0] |= not inner
+            worth[0] |= last == (bucket[0], part[0])
             worth[-1] = True
             for i, j in zip(begins[worth].tolist(), ends[worth].tolist()):
                 now = (bucket[i], part[i])
                 if now != last:
-                    last, filed_fp, filed_rep = now, np.empty(0, np.uint64), np.empty(0, np.int64)
+                    last, held, held_rep = now, [np.empty(0, np.uint64)] * words, np.empty(0, np.int64)
                 k = i + int(np.searchsorted(role[i:j], 1))
                 if k > i:
-                    filed_fp = np.concatenate([filed_fp, fp[i:k]])
-                    filed_rep = np.concatenate([filed_rep, rep[i:k]])
-                if not len(filed_fp):
+                    held = [np.concatenate([h, x[i:k]]) for h, x in zip(held, fp)]
+                    held_rep = np.concatenate([held_rep, rep[i:k]])
+                if not len(held_rep):
                     continue
-                step = max(1, CELLS // len(filed_fp))
+                step = max(1, CELLS // len(held_rep))
                 for p in range(i, j, step):
-                    x, xr = fp[p : min(j, p + step)], rep[p : min(j, p + step)]
-                    apart = np.bitwise_count(filed_fp[:, None] ^ x[None, :])
-                    near = (apart <= radius) & (apart > 0)
-                    if near.any():
+                    q = min(j, p + step)
+                    apart = sum(np.bitwise_count(h[:, None] ^ x[None, p:q]) for h, x in zip(held, fp))
+                    near = (apart <= radius) & (held_rep[:, None] != rep[None, p:q])
+                    if not near.any():
+                        continue
+                    if forest:
                         root, has, to = linked(near)
-                        a += [xr[has], filed_rep]
-                        b += [filed_rep[to], filed_rep[root]]
-            if a:
-                a, b = np.concatenate(a), np.concatenate(b)
-                yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], names=["a", "b"])
+                        found.append((rep[p:q][has], held_rep[to], None))
+                        found.append((held_rep, held_rep[root], None))
+                    else:
+                        found.append(nearest(apart, near, held_rep, rep[p:q]))
+            if found:
+                a, b = (np.concatenate([x[k] for x in found]) for k in (0, 1))
+                more = [] if forest else [np.concatenate([x[2] for x in found]).astype(np.int32)]
+                keep = a != b
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (a, b, *more)], names=["a", "b", *(["apart"] if more else [])])
 
     dealt = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "role")
-    return dealt.select("bucket", "part", "role", "fp", "rep").mapInArrow(fold, "a long, b long")
+    return dealt.select("bucket", "part", "role", "rep", *prints).mapInArrow(
+        fold, "a long, b long" + ("" if forest else ", apart int")
+    )
 
 
 def near_duplicates(
@@ -200,6 +237,80 @@ def near_duplicates(
     smallest doc_id that links reach) of every row."""
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes.where("rep is not null"), radius=radius, segments=segments, block=block))
+    found = components(links(nodes.where("rep is not null").withColumnRenamed("fp", "fp0"), radius=radius, segments=segments, block=block))
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
+
+
+def shingle_set(text: bytes, width: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def wide_fingerprint(shingles: set[bytes]) -> tuple[int, int]:
+    """128-bit SimHash of a set of shingles, as two signed numbers."""
+    if not shingles:
+        return 0, 0
+    counts, all_ = np.zeros(128, dtype=np.int64), list(shingles)
+    for k in range(0, len(all_), CHUNK):
+        hashes = b"".join([xxhash.xxh3_128_digest(x, 42) for x in all_[k : k + CHUNK]])
+        counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.uint32)
+    return tuple(np.packbits(2 * counts > len(all_)).view(">i8").tolist())
+
+
+def similar_documents(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    similarity: float = 0.8,
+    radius: int = 30,
+    segments: int = 8,
+    block: int = 4096,
+) -> DataFrame:
+    """``doc_id`` and ``component_id``, the smallest doc_id that links reach, of
+    every row with an id; texts link at a Jaccard ``similarity`` of their sets of
+    ``width``-word shingles (texts without words link to each other)."""
+    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [wide_fingerprint(shingle_set(t.as_py() or b"", width)) for t in batch.column(1).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array([x[k] for x in found], pa.int64()) for k in (0, 1))], names=["doc_id", "fp0", "fp1"]
+            )
+
+    prints = cut(own.mapInArrow(prints_of, "doc_id long, fp0 long, fp1 long"))
+    nodes = cut(prints.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("rep")))
+    offered = links(nodes, radius=radius, segments=segments, block=block, words=2, forest=False)
+    candidates = cut(offered.groupBy("a", "b").agg(F.min("apart").alias("apart")))
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [
+                np.frombuffer(b"".join(xxhash.xxh3_64_digest(x) for x in shingle_set(t.as_py() or b"", width)), dtype=np.int64)
+                for t in batch.column(1).cast(pa.binary())
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    ends = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = cut(own.join(ends, "doc_id", "left_semi").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id"]))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("shingles", "x"), "a").join(
+            sets.withColumnRenamed("id", "b").withColumnRenamed("shingles", "y"), "b"
+        )
+        common = F.size(F.array_intersect("x", "y"))
+        return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+
+    first = cut(verified(candidates.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))))
+    joined = components(first)
+    a_side = joined.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
+    b_side = joined.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
+    apart = candidates.join(a_side, "a", "left").join(b_side, "b", "left").where(
+        F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
+    )
+    found = components(first.unionByName(verified(apart.select("a", "b"))))
+    named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp0", "fp1", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, ["fp0", "fp1"]).select("doc_id", "component_id")
