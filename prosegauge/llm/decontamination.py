@@ -26,6 +26,8 @@ result.  Further columns do not matter.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,20 +78,17 @@ def window_rows(df: DataFrame) -> DataFrame:
 def short_rows(df: DataFrame, lengths: list[int]) -> DataFrame:
     """One row for each run of as many words as a short item has."""
     others = [c for c in df.columns if c != "words"]
-    found = None
-    for k in lengths:
-        runs = df.where(F.size("words") >= k).select(
-            *others,
-            F.posexplode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("words") - (k - 1)),
-                    lambda i, k=k: F.struct(F.xxhash64(F.slice("words", i, k)).alias("fingerprint"), F.hash(F.slice("words", i, k)).cast("long").alias("whole")),
-                )
-            ).alias("start", "w"),
-        )
-        runs = runs.select(*others, "start", F.lit(k).alias("length"), "w.fingerprint", "w.whole")
-        found = runs if found is None else found.unionByName(runs)
-    return found
+
+    def runs(k: int) -> DataFrame:
+        def hashed(i: Column) -> Column:
+            run = F.slice("words", i, k)
+            return F.struct(F.xxhash64(run).alias("fingerprint"), F.hash(run).cast("long").alias("whole"))
+
+        starts = F.sequence(F.lit(1), F.size("words") - (k - 1))
+        rows = df.where(F.size("words") >= k).select(*others, F.posexplode(F.transform(starts, hashed)).alias("start", "w"))
+        return rows.select(*others, "start", F.lit(k).alias("length"), "w.fingerprint", "w.whole")
+
+    return reduce(DataFrame.unionByName, map(runs, lengths))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, broadcast_windows: int = 500_000) -> DataFrame:
