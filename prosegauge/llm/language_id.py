@@ -12,8 +12,8 @@ their id, fill a dictionary of ``dict_bytes``; at most ``max_languages``.  This
 bounds the model (broadcast) to ``max_languages * dict_bytes``.
 
 Defined cases: a null text, or one without any letter, is ``und`` with score 0; with
-no language to learn from everything is ``und``; ties go to the language first
-in code point order; texts of any length are read whole, piece by piece; rows
+no language to learn from everything is ``und``; ties go to the language with the
+most labelled texts, then to the first in code point order; texts of any length are read whole, piece by piece; rows
 that repeat an id get the same answer; an empty table gives an empty table.
 """
 
@@ -47,7 +47,7 @@ def learn(
     dict_bytes: int = 65536,
     max_languages: int = 256,
 ) -> dict[str, bytes]:
-    """Dictionary contents by language, from labelled rows."""
+    """Dictionary contents by language, from labelled rows; most frequent first."""
     spot = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), spot.alias("spot"), F.col(text_col).alias("text")
@@ -70,12 +70,13 @@ def learn(
             chosen[lang].append(piece[: dict_bytes - size[lang]])
             size[lang] += len(chosen[lang][-1])
             used[lang] += 1
-    return {lang: b"".join(pieces) for lang, pieces in sorted(chosen.items()) if size[lang] >= 8}
+    by_count = sorted(chosen, key=lambda lang: (-counts[lang], lang))
+    return {lang: b"".join(chosen[lang]) for lang in by_count if size[lang] >= 8}
 
 
 class Judge:
     def __init__(self, model: dict[str, bytes], level: int = 6):
-        self.langs = sorted(model)
+        self.langs = list(model)
         self.by = []
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(model[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
