@@ -16,7 +16,7 @@ WHITESPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 #: The same as the inside of a character class (Java and RE2 syntax).
-WS = r"\t\n\x{0B}\f\r\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+WS = r"\t\n\x{0B}\f\r\x{1C}\x{1D}\x{1E}\x{1F}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: Line ends other than the line feed.
 OTHER_LINE_ENDS = r"\x{0B}\f\r\x{1C}-\x{1E}\x{85}\x{2028}\x{2029}"
 #: Inside of a class: letters and digits of any script, and the underscore.

@@ -5,7 +5,6 @@ Null in, null out, throughout.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import cache
 
@@ -19,6 +18,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: which no text may hold.
 BLOCK, SENTENCE = "\ufdd1", "\ufdd2"
 UNITS = r"\x{FDD1}\x{FDD2}"
+#: Letters that decompose or fold, and digits, all lie below.
+LAST = 0x30000
 
 
 def in_class(chars: str) -> str:
@@ -65,7 +66,7 @@ def _ranges(chars: list[int]) -> str:
 @cache
 def digit_class() -> str:
     """Inside of a class: whatever counts as a digit, superscripts included."""
-    odd = [k for k in range(128, sys.maxunicode + 1) if (c := chr(k)).isdigit() and not c.isdecimal()]
+    odd = [k for k in range(128, LAST) if (c := chr(k)).isdigit() and not c.isdecimal()]
     return r"\p{Nd}" + _ranges(odd)
 
 
@@ -74,7 +75,7 @@ def _folds() -> tuple[str, str, dict[str, str]]:
     """Non-ASCII letters whose compatibility decomposition holds ASCII letters:
     those with one, what they become, and those with several."""
     one_from, one_to, several = [], [], {}
-    for k in range(128, sys.maxunicode + 1):
+    for k in range(128, LAST):
         c = chr(k)
         if unicodedata.decomposition(c) and unicodedata.category(c) in ("Lu", "Ll", "Lt", "Lm", "Lo", "Nl", "No"):
             letters = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalpha()).lower()
@@ -86,6 +87,11 @@ def _folds() -> tuple[str, str, dict[str, str]]:
     return "".join(one_from), "".join(one_to), several
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is made once, however often ``f`` reads it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def _replace_chars(text: Column, table: dict[str, str]) -> Column:
     """Each character of the table by its string; texts without any are left as they are."""
     pairs = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
@@ -97,15 +103,18 @@ def fold(text: Column) -> Column:
     """Letters as a to z: ASCII in lower case, others as the ASCII letters of
     their decomposition, or gone if they have none.  Other characters stay."""
     one_from, one_to, several = _folds()
-    wide = _replace_chars(F.translate(text, UPPER + one_from, LOWER + one_to), several)
-    wide = F.regexp_replace(wide, rf"[[{fixed.LETTER_CHARS}]&&[^\x00-\x7F]]+", "")
-    return F.when(text.rlike(r"[^\x00-\x7F]"), wide).otherwise(ascii_lower(text))
+
+    def wide(x: Column) -> Column:
+        ascii_ones = let(F.translate(x, UPPER + one_from, LOWER + one_to), lambda y: _replace_chars(y, several))
+        return F.regexp_replace(ascii_ones, rf"[[{fixed.LETTER_CHARS}]&&[^\x00-\x7F]]+", "")
+
+    return let(text, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), wide(x)).otherwise(ascii_lower(x)))
 
 
 @cache
 def _case_folds() -> tuple[str, str, dict[str, str]]:
     one_from, one_to, several = [], [], {}
-    for k in range(128, sys.maxunicode + 1):
+    for k in range(128, LAST):
         c = chr(k)
         low, folded = c.lower(), c.casefold()
         if folded != low and c == low:
@@ -120,14 +129,8 @@ def _case_folds() -> tuple[str, str, dict[str, str]]:
 def casefold(text: Column) -> Column:
     """Lower case for comparison: also sharp s, ligatures and the like."""
     one_from, one_to, several = _case_folds()
-    low = F.lower(text)
-    wide = _replace_chars(F.translate(low, one_from, one_to), several)
-    return F.when(low.rlike(r"[^\x00-\x7F]"), wide).otherwise(low)
-
-
-def let(value: Column, f) -> Column:
-    """``f`` of a value that is made once, however often ``f`` reads it."""
-    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+    wide = lambda x: let(F.translate(x, one_from, one_to), lambda y: _replace_chars(y, several))
+    return let(F.lower(text), lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), wide(x)).otherwise(x))
 
 
 def half_even(x: Column, digits: int) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosegauge import fixed
-from prosegauge.functions.chars import BLOCK, SENTENCE, UNITS, all_of, count_of, in_class, literal, one_of, strip
+from prosegauge.functions.chars import BLOCK, SENTENCE, UNITS, all_of, count_of, in_class, let, literal, one_of, strip
 
 _HIDDEN, _MARK = "\ue000", "\ufdd3"
 _W = f"[{fixed.WORD_CHARS}]"
@@ -43,16 +43,21 @@ def line_blocks(text: Column) -> Column:
 
 
 def protected(text: Column) -> Column:
-    x = F.regexp_replace(text, r"(?<=\p{Nd})\.(?=\p{Nd})", _HIDDEN)
-    listed = x
-    for word in fixed.SENTENCE_ABBREVIATIONS:
-        listed = F.regexp_replace(listed, rf"(?iu)(?<!{_W}){literal(word)}(?!{_W})", word.replace(".", _HIDDEN))
-    # the second column is only evaluated for texts that need it
-    any_listed = rf"(?iu)(?<!{_W}){one_of(fixed.SENTENCE_ABBREVIATIONS)}(?!{_W})"
-    x = F.when(x.rlike(any_listed), listed).otherwise(x)
-    pieces = F.split(F.regexp_replace(x, f"({_WITH_DOTS})", f"{_MARK}$1{_MARK}"), _MARK)
-    hidden = F.array_join(F.transform(pieces, lambda p, k: F.when(k % 2 == 1, F.translate(p, ".", _HIDDEN)).otherwise(p)), "")
-    x = F.when(x.rlike(_WITH_DOTS), hidden).otherwise(x)
+    any_listed = rf"(?iu){one_of(fixed.SENTENCE_ABBREVIATIONS)}(?!{_W})(?<!{_W}{one_of(fixed.SENTENCE_ABBREVIATIONS)})"
+
+    def listed(x: Column) -> Column:
+        out = x
+        for word in fixed.SENTENCE_ABBREVIATIONS:
+            out = F.regexp_replace(out, rf"(?iu)(?<!{_W}){literal(word)}(?!{_W})", word.replace(".", _HIDDEN))
+        return F.when(x.rlike(any_listed), out).otherwise(x)
+
+    def addresses(x: Column) -> Column:
+        pieces = F.split(F.regexp_replace(x, f"({_WITH_DOTS})", f"{_MARK}$1{_MARK}"), _MARK)
+        hidden = F.array_join(F.transform(pieces, lambda p, k: F.when(k % 2 == 1, F.translate(p, ".", _HIDDEN)).otherwise(p)), "")
+        return F.when(x.rlike(rf"://|www\.|@|[A-Za-z]\.[A-Za-z]\."), hidden).otherwise(x)
+
+    # the longer ways are only taken by texts that need them
+    x = let(let(F.regexp_replace(text, r"\.(?<=\p{Nd}\.)(?=\p{Nd})", _HIDDEN), listed), addresses)
     return F.regexp_replace(x, rf"{_HIDDEN}(?={_CLOSERS}(?:\x{{FDD1}}|\z))", ".")
 
 

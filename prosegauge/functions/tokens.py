@@ -16,24 +16,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosegauge import fixed
-from prosegauge.functions.chars import UNITS, all_of, casefold, count_of, digit_class, fold, in_class, one_of, strip
+from prosegauge.functions.chars import UNITS, all_of, casefold, count_of, digit_class, fold, in_class, let, one_of, strip
 
-_END = rf"[{fixed.WS}{UNITS}]"
 _INSIDE = rf"[^{fixed.WS}{UNITS}]"
-_PART = rf"[^{fixed.WS}{UNITS}{in_class(fixed.TOKEN_DELIMITERS)}]"
+_EDGE = rf"{fixed.WS}{UNITS}{in_class(fixed.TOKEN_DELIMITERS)}"
+_PART = rf"[^{_EDGE}]"
 _TRAIL = f"[{in_class(fixed.TRAILERS)}]*"
+_MARKER = f"[{in_class(''.join(fixed.IGNORED_MARKERS))}]"
 #: The chunk is its unit's last, or the next one begins with a capital.
 _CLOSED = rf"(?:[{fixed.WS}]*(?:[{UNITS}]|\z)|[{fixed.WS}]+\p{{IsUppercase}})"
+#: Nothing but trailers follows in the part; at the end of a closed chunk also one mark, and closers.
+_OVER = rf"{_TRAIL}(?:(?:[.!?][{in_class(fixed.CLOSERS)}]*)?{_CLOSED}|[{_EDGE}]|\z)"
+_ENDINGS = in_class(fixed.TRAILERS + ".!?")
 TOKEN = (
     # markers, outside the group
-    rf"(?<!{_INSIDE})[{in_class(''.join(fixed.IGNORED_MARKERS))}](?!{_INSIDE})"
-    rf"|(?={_PART})[{in_class(fixed.OPENERS)}]*+("
+    rf"{_MARKER}(?<!{_INSIDE}{_MARKER})(?!{_INSIDE})"
+    rf"|(?=[A-Za-z]|{_PART})[{in_class(fixed.OPENERS)}]*+("
     # abbreviations and numbers with a dot, whole
-    rf"(?<!{_INSIDE}){one_of(fixed.TOKEN_ABBREVIATIONS)}(?!{_INSIDE})"
+    rf"{one_of(fixed.TOKEN_ABBREVIATIONS)}(?!{_INSIDE})(?<!{_INSIDE}{one_of(fixed.TOKEN_ABBREVIATIONS)})"
     rf"|\p{{Nd}}+(?:\.\p{{Nd}}+)*\.(?!{_INSIDE})"
-    # the end of a closed chunk loses one mark, and then closers
-    rf"|{_PART}*?(?={_TRAIL}(?:[.!?][{in_class(fixed.CLOSERS)}]*)?{_CLOSED})"
-    rf"|{_PART}*?(?={_TRAIL}(?:[{fixed.WS}{UNITS}{in_class(fixed.TOKEN_DELIMITERS)}]|\z))"
+    # letters run through; only where a trailer or mark stands, its end is looked for
+    rf"|(?:[A-Za-z]++|[^{_EDGE}{_ENDINGS}]|(?!{_OVER})[{_ENDINGS}])*+"
     rf"){_PART}*+"
 )
 
@@ -141,15 +144,22 @@ def _difference(word: Column, listed: dict[str, int]) -> Column:
 def syllable_total(of_tokens: Column) -> Column:
     """Sum of ``token_syllables``, by patterns over the joined tokens; only tokens
     with digits or ``@`` are looked at one by one."""
-    every = F.array_join(of_tokens, " ")  # no token holds white space
-    odd_ones = rf"(?<![^ ])[^ {_special()[1:-1]}]*+{_special()}[^ ]*+"
-    plain, odd = F.regexp_replace(every, odd_ones, ""), all_of(every, odd_ones)
-    joined = F.regexp_replace(plain, f"{_JOINT}(?<={_L}{_JOINT})(?={_L})", "")
-    total = folded_syllables(fold(joined)) + F.when(F.size(odd) > 0, _total(odd, token_syllables)).otherwise(0)
+    odd_ones = rf"(?<![^ ])(?:[A-Za-z]++|[^ {_special()[1:-1]}])*+{_special()}[^ ]*+"
     listed = {word: n - _estimate(word) for word, n in fixed.SYLLABLE_EXCEPTIONS.items() if n != _estimate(word)}
-    whole = rf"(?iu)(?<!{_L})(?<!{_L}{_JOINT})(?:{'|'.join(listed)})(?!{_L})(?!{_JOINT}{_L})"
-    found = all_of(plain, whole)
-    return total + F.aggregate(found, F.lit(0), lambda sum_, w: sum_ + _difference(w, listed))
+    words = "|".join(listed)
+    whole = rf"(?iu)(?:{words})(?!{_L})(?!{_JOINT}{_L})(?<!{_L}(?:{words}))(?<!{_L}{_JOINT}(?:{words}))"
+
+    def plain_words(plain: Column) -> Column:
+        joined = F.regexp_replace(plain, f"{_JOINT}(?<={_L}{_JOINT})(?={_L})", "")
+        known = F.aggregate(all_of(plain, whole), F.lit(0), lambda total, w: total + _difference(w, listed))
+        return let(fold(joined), folded_syllables) + known
+
+    def both(every: Column) -> Column:
+        odd = _total(all_of(every, odd_ones), token_syllables)
+        some = every.rlike(rf"[0-9@]|[^\x00-\x7F](?<={_special()})")
+        return F.when(some, let(F.regexp_replace(every, odd_ones, ""), plain_words) + odd).otherwise(plain_words(every))
+
+    return let(F.array_join(of_tokens, " "), both)  # no token holds white space
 
 
 def char_total(of_tokens: Column) -> Column:
