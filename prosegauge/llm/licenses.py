@@ -4,7 +4,8 @@
    neighbouring lines, over the whole text.  Each is a bag of words and word pairs weighted by TF-IDF over the
    templates; the cosine to every template is a sparse product over the terms
    they share.  A passage of more than twice the longest template's terms is no
-   notice.
+   notice.  Passages that hold no term without which the threshold is out of reach
+   are not looked at.
 2. A file's own licence is that of its best passage with a cosine of at least
    ``threshold``; ties go to the first template by name.
 3. A file without one takes the licence of the nearest ancestor directory (its own
@@ -84,8 +85,29 @@ class Scanner:
             norm = math.sqrt(sum((c * self.idf[t]) ** 2 for t, c in bag.items()))
             for t, c in bag.items():
                 self.postings.setdefault(t, []).append((k, c * self.idf[t] / norm))
-        # a passage at the threshold shares at least one word of these with a template
-        self.words = {t for t in self.postings if " " not in t}
+        self.keys = self._keys()
+
+    def _keys(self) -> list[str]:
+        """Strings of which every passage at the threshold holds at least one.
+
+        A term is looked for by its longest word.  A template's terms are put aside,
+        those with the shortest such word first, while their norm stays below the
+        threshold.  A passage that shares none of the others has a smaller cosine
+        than that norm, whatever else it holds.
+        """
+        left: dict[int, list[tuple[int, str, float]]] = {}
+        for t, found in self.postings.items():
+            key = max(t.split(" "), key=lambda word: (len(word), word))
+            for k, w in found:
+                left.setdefault(k, []).append((len(key), key, w))
+        keys = set()
+        for terms_of in left.values():
+            aside = 0.0
+            for _, key, w in sorted(terms_of):
+                aside += w * w
+                if aside >= self.threshold**2 * (1 - 1e-9):
+                    keys.add(key)
+        return sorted(keys)
 
     def cosine(self, passage: str) -> tuple[float, str | None]:
         bag = terms(passage)
@@ -103,8 +125,12 @@ class Scanner:
 
     def scan(self, text: str | None) -> tuple[str | None, float | None]:
         """Licence and cosine of the best passage of a whole text."""
-        lines = [line for line in (text or "").split("\n") if line.strip()]
-        hit = [any(w in self.words for w in WORD.findall(line.lower())) for line in lines]
+        low = (text or "").lower()
+        keys = [key for key in self.keys if key in low]
+        if not keys:
+            return None, None
+        lines = [line for line in text.split("\n") if line.strip()]
+        hit = [any(key in line for key in keys) for line in map(str.lower, lines)]
         best, name = 0.0, None
         for k in range(len(lines)):
             for size in (1, 2, 3):
