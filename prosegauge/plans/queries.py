@@ -15,15 +15,16 @@ from pyspark.sql import functions as F
 from prosegauge import fixed
 from prosegauge.functions import lines as L
 from prosegauge.functions import passive, sentences, tokens, v1
-from prosegauge.functions.chars import half_even
+from prosegauge.functions.chars import half_even, in_class
 from prosegauge.operators import measure, pages, reflow, selection, tagged
 from prosegauge.plans import fixtures, oracle
 from prosegauge.plans.analyze import analysis_results, inspect_support, measure_documents, metric_rows, plain_documents
-from prosegauge.plans.registry import HTML, list_adapters
+from prosegauge.plans.registry import HTML, flat_documents, list_adapters, tagged_documents
 from prosegauge.runtime import table
 from prosegauge.schema import exploded
 from prosegauge.sources import html as html_source
-from prosegauge.sources.files import html_sources
+from prosegauge.sources import word
+from prosegauge.sources.files import html_sources, with_identity
 from prosegauge.sources.profiles import all_profiles, load_profile
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -524,9 +525,6 @@ def html_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("doc_id", F.to_json(F.struct(*[c for c in results.columns if c not in ("doc_id", "analysis_id", "generated_at")])).alias("result"))
 
 
-_SEGMENT_ID = f"substr(sha256(sha256(coalesce(text, '')) || ':0:p:body:' || {{t}}), 1, 24)"
-
-
 @query(
     f"""WITH n AS (SELECT doc_id, text, trim(regexp_replace(replace(replace(coalesce(text, ''), '<', ' '), '&', ' '), {_H1}, ' ', 'g'), {oracle.WS}) AS t FROM documents)
 SELECT doc_id, substr(sha256(sha256('<p>' || t || '</p>') || ':0:p:body:' || t), 1, 24) AS segment_id FROM n WHERE t <> ''"""
@@ -642,6 +640,68 @@ def top_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.repeated_navigation(words).select("doc_id", F.col("page").cast("long").alias("page"))
 
 
+# ---- whole estimates ---------------------------------------------------------------------------
+
+
+def _pdf_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _docs(spark, sf_dir, "doc_id").withColumn("content", F.lit("%PDF-").cast("binary"))
+    empty = F.array().cast("array<struct<name:string,kind:string,media_type:string,content:binary>>")
+    none = {n: F.lit(None).cast("string") for n in ("document_id", "revision")}
+    return with_identity(found.withColumns({"kind": F.lit("pdf"), "media_type": F.lit("application/pdf"), "production_path": F.lit("unknown"), "auxiliaries": empty} | none))
+
+
+@query()
+def flat_pdf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as flat pages of forty lines, from lines to metrics with reliability."""
+    placed = _placed(spark, sf_dir)
+    lines = placed.select("doc_id", "page", F.col("reading_order").alias("line_index"), "text", "bbox")
+    page_table = lines.select("doc_id", "page").distinct().select("doc_id", "page", F.lit(612.0).alias("width"), F.lit(792.0).alias("height"), F.lit(False).alias("extraction_failed"))
+    docs = flat_documents(_pdf_sources(spark, sf_dir).drop("content", "auxiliaries"), lines, page_table)
+    profile = load_profile("generic-pdf-estimate@0.6.0")
+    rows = metric_rows(measure_documents(docs, profile, estimate="flat_pdf"), profile, estimate="flat_pdf")
+    return rows.select("doc_id", "metric_id", "status", "value", F.col("reliability.level").alias("level"), F.array_join("reliability.reason_codes", ",").alias("reasons"))
+
+
+@query()
+def tagged_pdf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tagged pages, from words and tags to metrics with reliability."""
+    words, tags, shapes, annots, pages_ = _word_tables(spark, sf_dir)
+    docs = tagged_documents(_pdf_sources(spark, sf_dir).drop("content", "auxiliaries"), words=words, tags=tags, shapes=shapes, annots=annots, pages=pages_)
+    profile = load_profile("pdf-estimate@0.7.0")
+    rows = metric_rows(measure_documents(docs, profile, estimate="tagged_pdf"), profile, estimate="tagged_pdf")
+    return rows.select("doc_id", "metric_id", "status", "value", F.col("reliability.level").alias("level"), F.col("reliability.unknown_word_share").alias("unknown_word_share"))
+
+
+# ---- word-processor front matter ------------------------------------------------------------------
+
+_FRONT = f"""{oracle.lines()},
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY block) - 1 AS k,
+  trim(regexp_replace(translate(t, '<&', '  '), {_H1}, ' ', 'g'), {oracle.WS}) AS t FROM blocks),
+c AS (SELECT doc_id, count(*) FILTER (k = 3 AND t <> '') > 0 AND count(*) FILTER (k <= 2 AND t <> '') > 0
+    AND sum(len(string_split(t, ' '))) FILTER (k <= 2 AND t <> '') <= {fixed.COVER_MAX_WORDS} AND max(len(string_split(t, ' '))) FILTER (k <= 2 AND t <> '') <= {fixed.COVER_MAX_PARAGRAPH_WORDS}
+    AND count(*) FILTER (k <= 2 AND regexp_matches(t, {oracle.q("[.!?][" + in_class(fixed.SENTENCE_CLOSERS + "]") + "]*$")})) = 0 AS cover FROM n GROUP BY doc_id)"""
+
+
+@query(
+    f"""WITH {_FRONT}
+SELECT doc_id, k::BIGINT AS position, CASE WHEN k IN (3, 4) THEN 'table_of_contents' ELSE 'cover_position' END AS role FROM n JOIN c USING (doc_id)
+WHERE k IN (3, 4) OR (k <= 2 AND cover AND t <> '')"""
+)
+def word_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as word-processor bodies: three paragraphs and a section's end, two
+    contents entries, and the rest."""
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda t: F.btrim(t, F.lit(fixed.WHITESPACE))), lambda t: t != "")
+
+    def paragraph(t: Column, k: Column) -> Column:
+        props = F.when(k == 2, "<w:pPr><w:sectPr/></w:pPr>").when(k.isin(3, 4), '<w:pPr><w:pStyle w:val="TOC1"/></w:pPr>').otherwise("")
+        text = F.regexp_replace(F.translate(t, "<&", "  "), r"[\x00-\x08\x0B\x0C\x0E-\x1F\uFFFE\uFFFF]", " ")
+        return F.concat(F.lit("<w:p>"), props, F.lit("<w:r><w:t>"), text, F.lit("</w:t></w:r></w:p>"))
+
+    xml = F.concat(F.lit(f'<w:body xmlns:w="{fixed.WORD_NAMESPACE}">'), F.array_join(F.transform(lines, paragraph), ""), F.lit("</w:body>"))
+    found = word.front_matter(_docs(spark, sf_dir).select("doc_id", xml.alias("xml")))
+    return found.select("doc_id", F.col("position").cast("long").alias("position"), "role")
+
+
 # ---- rounding -----------------------------------------------------------------------------------
 
 

@@ -28,6 +28,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Tables of texts, whose rows are worth spreading.
+TEXT_TABLES = ("documents", "pages", "conversations")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files make fewer partitions than there are cores
+    (one small file is one task, however many cores wait).  Inputs of many
+    splits stay as they are: nothing is exchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the parquet tables of a data folder."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    found = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(found) if name in TEXT_TABLES else found
