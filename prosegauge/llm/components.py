@@ -3,7 +3,8 @@
 Every round is two aggregations and two equi-joins over the edges, so no node's
 neighbours are ever gathered in one row; hot nodes (centres of large stars) are
 pre-aggregated before the shuffle and their join rows can be split by AQE.
-The edges of every second round go to the shared checkpoint folder.
+The edges of every second round go to the shared checkpoint folder, in as many
+files as their number needs.
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosegauge.runtime import cut
+from prosegauge.llm.kept import kept
+
+EDGES_A_FILE = 100_000
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -31,18 +34,21 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 30, at_most: int | None = None) -> DataFrame:
     """``node``, ``component`` (its smallest node) for each node of an edge.
 
     ``edges`` has columns ``a`` and ``b``; edges with a null end and loops are
-    left out, repeated edges count once.  No edges: no rows.
+    left out, repeated edges count once.  No edges: no rows.  ``at_most`` is a known
+    bound of the number of edges, if there is one.
     """
-    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = kept(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), rows=at_most, a_file=EDGES_A_FILE)
     state = _state(edges)
     for _ in range(max_rounds):
         if not state[0]:
             break
-        edges = cut(_small_star(_large_star(edges)))
+        for _ in range(2):
+            edges = _small_star(_large_star(edges))
+        edges = kept(edges, rows=state[0], a_file=EDGES_A_FILE)
         now = _state(edges)
         if now == state:
             break

@@ -1,0 +1,18 @@
+"""Intermediate tables in the shared checkpoint folder, in files of a fair size."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from prosegauge.runtime import cut
+
+
+def kept(df: DataFrame, *, rows: int | None = None, a_file: int = 25_000) -> DataFrame:
+    """``df`` checkpointed.  With a bound on its rows, small tables take few files
+    (each file costs a cluster some calls, however small it is); large ones keep
+    their partitions, so nothing is gathered in one task."""
+    if rows is not None:
+        files = max(1, -(-rows // a_file))
+        if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
+    return cut(df)

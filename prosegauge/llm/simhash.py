@@ -43,6 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.llm.components import components
+from prosegauge.llm.kept import kept
 from prosegauge.runtime import cut
 
 CHUNK = 1 << 16
@@ -125,13 +126,21 @@ def nearest(apart: np.ndarray, near: np.ndarray, filed: np.ndarray, member: np.n
 
 
 def links(
-    nodes: DataFrame, *, radius: int = 3, segments: int = 2, block: int = 4096, words: int = 1, forest: bool = True
+    nodes: DataFrame,
+    *,
+    radius: int = 3,
+    segments: int = 2,
+    block: int = 4096,
+    words: int = 1,
+    forest: bool = True,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Edges ``a``, ``b`` between ``rep`` of distinct fingerprints within ``radius``.
 
     Fingerprints have ``words`` columns ``fp0``, ``fp1``... of 64 bits.  For every
     bucket a spanning forest of its links (which is exact for a radius under
     ``2 * segments``), or else each one's nearest with a smaller id, and ``apart``.
+    ``at_most`` is a known bound of the number of nodes, if there is one.
     """
     size = 64 * words // segments
     if 64 % size or (forest and radius > 2 * segments - 1):
@@ -161,8 +170,10 @@ def links(
         F.shiftrightunsigned(f"fp{s * size // 64}", s * size % 64).bitwiseAND(F.lit(mask)) * segments + s for s in range(segments)
     ]
     filed = nodes.select(F.explode(F.array(*keys)).alias("bucket"))
-    large = cut(
-        filed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    large = kept(
+        filed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")),
+        rows=None if at_most is None else segments * at_most,
+        a_file=100_000,
     )
     of_print = ", ".join(f"{p} long" for p in prints)
     rows = nodes.select(*prints, "rep").mapInArrow(expand, f"bucket long, role byte, {of_print}, rep long")
@@ -236,8 +247,10 @@ def near_duplicates(
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the
     smallest doc_id that links reach) of every row."""
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    found = components(links(nodes.where("rep is not null").withColumnRenamed("fp", "fp0"), radius=radius, segments=segments, block=block))
+    n = prints.count()
+    nodes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), rows=n)
+    edges = links(nodes.where("rep is not null").withColumnRenamed("fp", "fp0"), radius=radius, segments=segments, block=block, at_most=n)
+    found = components(edges)
     named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
 
@@ -282,8 +295,9 @@ def similar_documents(
             )
 
     prints = cut(own.mapInArrow(prints_of, "doc_id long, fp0 long, fp1 long"))
-    nodes = cut(prints.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("rep")))
-    offered = links(nodes, radius=radius, segments=segments, block=block, words=2, forest=False)
+    n = prints.count()
+    nodes = kept(prints.groupBy("fp0", "fp1").agg(F.min("doc_id").alias("rep")), rows=n)
+    offered = links(nodes, radius=radius, segments=segments, block=block, words=2, forest=False, at_most=n)
     candidates = cut(offered.groupBy("a", "b").agg(F.min("apart").alias("apart")))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +318,8 @@ def similar_documents(
         common = F.size(F.array_intersect("x", "y"))
         return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
-    first = cut(verified(candidates.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))))
-    joined = components(first)
+    first = kept(verified(candidates.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))), rows=n)
+    joined = components(first, at_most=n)
     a_side = joined.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
     b_side = joined.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
     apart = candidates.join(a_side, "a", "left").join(b_side, "b", "left").where(
