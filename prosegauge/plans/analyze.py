@@ -296,7 +296,8 @@ def metric_rows(measured: DataFrame, profile: Profile, *, estimate: str = "none"
     """One row a document and metric."""
     rows = measured.withColumn("coverage_summary", _coverage())
     metrics = F.array(*[_metric(profile, m, estimate) for m in fixed.METRICS])
-    return rows.where("error is null").select("doc_id", F.explode(metrics).alias("m")).select("doc_id", "m.*")
+    # no filter: it would be pushed below the counts and bring a copy of them along
+    return rows.select("doc_id", F.explode(F.when(F.col("error").isNull(), metrics)).alias("m")).select("doc_id", "m.*")
 
 
 def plain_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
