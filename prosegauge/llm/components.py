@@ -3,8 +3,8 @@
 Every round is two aggregations and two equi-joins over the edges, so no node's
 neighbours are ever gathered in one row; hot nodes (centres of large stars) are
 pre-aggregated before the shuffle and their join rows can be split by AQE.
-The edges of every second round go to the shared checkpoint folder, in as many
-files as their number needs.
+The edges of every round go to the shared checkpoint folder, in as many files as
+their number needs.
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 30, at_most: int | None = None) -> DataFrame:
+def components(edges: DataFrame, max_rounds: int = 60, at_most: int | None = None) -> DataFrame:
     """``node``, ``component`` (its smallest node) for each node of an edge.
 
     ``edges`` has columns ``a`` and ``b``; edges with a null end and loops are
@@ -46,9 +46,7 @@ def components(edges: DataFrame, max_rounds: int = 30, at_most: int | None = Non
     for _ in range(max_rounds):
         if not state[0]:
             break
-        for _ in range(2):
-            edges = _small_star(_large_star(edges))
-        edges = kept(edges, rows=state[0], a_file=EDGES_A_FILE)
+        edges = kept(_small_star(_large_star(edges)), rows=state[0], a_file=EDGES_A_FILE)
         now = _state(edges)
         if now == state:
             break
