@@ -260,6 +260,38 @@ def test_similar_documents(spark):
     assert sum(got[d] == want[d] for d in got) >= 0.97 * len(got)
 
 
+def groups_by_hand(rows):
+    sets = {k: simhash.shingle_set(t.encode(), 5) for k, t in rows}
+    of = {}
+    for k, x in sets.items():
+        for s in x:
+            of.setdefault(s, set()).add(k)
+    near = {
+        (a, b) for a, x in sets.items() for b in {k for s in x for k in of[s]} if a < b and 5 * len(x & sets[b]) >= 4 * len(x | sets[b])
+    }
+    return union(near, sets)
+
+
+def test_similar_documents_over_crowded_buckets_and_bridges(spark):
+    """Texts with a long shared passage at a similarity just under 0.8, and among them
+    pairs and chains a, c, b where only c is similar to both."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
+    passage, texts = fresh(200), []
+    for _ in range(500):
+        texts.append(passage + fresh(28))
+    for _ in range(40):
+        own = fresh(28)
+        texts += [passage + own, passage[:-6] + fresh(6) + own]
+    for _ in range(40):
+        middle = fresh(200)
+        texts += [fresh(18) + middle[18:], middle[:-18] + fresh(18), middle]
+    rng.shuffle(texts)
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), block=256).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == groups_by_hand(rows)
+
+
 # ---- fingerprints -----------------------------------------------------------
 
 
