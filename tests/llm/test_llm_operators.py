@@ -292,6 +292,21 @@ def test_similar_documents_over_crowded_buckets_and_bridges(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == groups_by_hand(rows)
 
 
+def test_similar_documents_at_the_threshold(spark):
+    """Isolated pairs at a similarity of exactly 0.8 or little more, short and long."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.getrandbits(60)}" for _ in range(n)]
+    rows = []
+    for k in range(300):
+        shared = fresh(rng.choice([4, 8, 16, 80, 160]) + 4)
+        n = (len(shared) - 4) // 8
+        rows += [(2 * k, " ".join(shared + fresh(n))), (2 * k + 1, " ".join(shared + fresh(n)))]
+    want = groups_by_hand(rows)
+    assert sum(want[2 * k + 1] == 2 * k for k in range(300)) == 300
+    got = simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == want
+
+
 # ---- fingerprints -----------------------------------------------------------
 
 
