@@ -52,10 +52,16 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go, however long they are: a passage
-    in a long document leaks as much as in a short one."""
+    in a long document leaks as much as in a short one.  Items of fewer words than a
+    window may be common words, so for these a document goes by its share of hits."""
     docs = docs.select(*COLUMNS)
-    found = decontamination.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
-    gone = found.where("n_hit > 0").select("doc_id").distinct()
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    size = F.size(decontamination.words(F.col("text")))
+    gone = decontamination.contamination(docs, items.where(size >= decontamination.WINDOW)).where("n_hit > 0").select("doc_id")
+    short = items.where((size > 0) & (size < decontamination.WINDOW))
+    if not short.isEmpty():
+        gone = gone.unionByName(decontamination.contamination(docs, short).where("contaminated").select("doc_id"))
+    gone = gone.distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

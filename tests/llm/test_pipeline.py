@@ -105,3 +105,12 @@ def test_nothing_in_nothing_out(spark, folder):
     path = folder[0]
     empty = spark.createDataFrame([], SCHEMA)
     assert [stage(spark, empty, path).count() for _, stage in P.STAGES] == [0] * 5
+
+
+def test_short_items_take_only_what_they_fill(spark, tmp_path):
+    passage = " ".join(f"p{k}" for k in range(13))
+    prose = " ".join(f"w{k}" for k in range(400))
+    spark.createDataFrame([(0, "Yes"), (1, "blue whale"), (2, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [f"{prose} yes {prose}", "A blue whale", f"{prose} {passage} {prose}", f"{prose} blue {prose} whale", "yes"]
+    docs = spark.createDataFrame([(k, t, "en", "a", len(t)) for k, t in enumerate(texts)], SCHEMA)
+    assert {r["doc_id"] for r in P.decontamination_stage(spark, docs, str(tmp_path)).collect()} == {0, 3}
