@@ -627,15 +627,16 @@ s AS (SELECT book, page, count(*) AS size FROM w WHERE page % 3 = 0 GROUP BY ALL
 SELECT book AS doc_id, page::BIGINT AS page FROM t JOIN s USING (book, page) WHERE n = size GROUP BY book, page HAVING count(*) >= 2"""
 )
 def top_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First three words of documents as top lines of ten-page books: every third
-    page's are tagged, the others' are artifacts."""
+    """Documents as pages of ten-page books, three words a line, only the first line in
+    the top band and the rest one group: every third page's are tagged, the others'
+    are artifacts."""
     docs = _docs(spark, sf_dir).select(F.floor(F.col("doc_id") / 10).cast("long").alias("doc_id"), (F.col("doc_id") % 10).cast("int").alias("page"), "text")
-    w = docs.select("doc_id", "page", F.posexplode(F.slice(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[^{fixed.WS}]+"), 0), 1, 3)).alias("i", "text"))
-    tagged_page = F.col("page") % 3 == 0
-    left = (F.col("i") * 50).cast("double")
+    w = docs.select("doc_id", "page", F.posexplode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(f"[^{fixed.WS}]+"), 0)).alias("i", "text"))
+    tagged_page, i = F.col("page") % 3 == 0, F.col("i")
+    left, top = (i % 3 * 50).cast("double"), (F.lit(10) + F.floor(i / 3) * 30).cast("double")
     words = w.select(
-        "doc_id", "page", F.col("i").alias("native_index"), "text", left.alias("left"), F.lit(10.0).alias("top"), (left + 40.0).alias("right"), F.lit(20.0).alias("bottom"),
-        F.when(tagged_page, F.array(F.lit("LBody"))).otherwise(F.array(F.lit("Artifact"))).alias("tag_path"), F.when(tagged_page, F.lit("g")).alias("group_id"),
+        "doc_id", "page", i.alias("native_index"), "text", left.alias("left"), top.alias("top"), (left + 40.0).alias("right"), (top + 10.0).alias("bottom"),
+        F.when(tagged_page, F.array(F.lit("LBody"))).otherwise(F.array(F.lit("Artifact"))).alias("tag_path"), F.when(tagged_page, F.when(i < 3, "g").otherwise("rest")).alias("group_id"),
     )
     return tagged.repeated_navigation(words).select("doc_id", F.col("page").cast("long").alias("page"))
 

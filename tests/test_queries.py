@@ -43,3 +43,12 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).limit(1).count() == 1 and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_top_navigation_lays_out_whole_texts(spark, duck, monkeypatch):
+    seen = []
+    found = queries.tagged.repeated_navigation
+    monkeypatch.setattr(queries.tagged, "repeated_navigation", lambda words: seen.append(words) or found(words))
+    queries.queries()["top_navigation"](spark, FOLDER)
+    n = duck.execute(f"select sum(len(regexp_extract_all(coalesce(text, ''), {queries.oracle.NOT_WS}))) from documents").fetchone()[0]
+    assert seen[0].count() == n and seen[0].where("bottom > 36 and group_id is not null").count() > 0
