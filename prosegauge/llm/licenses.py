@@ -1,7 +1,9 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance by path.
 
-1. A file's candidate passages are its lines and its pairs and triples of
-   neighbouring lines, over the whole text.  Each is a bag of words and word pairs weighted by TF-IDF over the
+1. A file's candidate passages are its lines, its pairs and triples of
+   neighbouring lines, and, wherever lines break, its runs of as many words as each
+   template has, less words at their ends that no template has (which only lower
+   the cosine), over the whole text.  Each is a bag of words and word pairs weighted by TF-IDF over the
    templates; the cosine to every template is a sparse product over the terms
    they share.  A passage of more than twice the longest template's terms is no
    notice.  Passages that hold no term without which the threshold is out of reach
@@ -28,7 +30,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,19 +46,27 @@ TEMPLATES = {
     "BSD-3-Clause": (
         "Use of this source code is governed by a BSD-style license.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "BSD 3-Clause License",
     ),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International"),
-    "GPL-2.0": ("This work is licensed under the GNU General Public License, version 2.",),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "GNU General Public License Version 2, June 1991",
+    ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "GNU General Public License Version 3, 29 June 2007",
     ),
     "MIT": (
         "Released under the MIT License.",
+        "MIT License",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "Mozilla Public License Version 2.0",
+    ),
 }
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.\-_].*)?$"
@@ -85,7 +95,16 @@ class Scanner:
             norm = math.sqrt(sum((c * self.idf[t]) ** 2 for t, c in bag.items()))
             for t, c in bag.items():
                 self.postings.setdefault(t, []).append((k, c * self.idf[t] / norm))
+        self.sizes = [len(WORD.findall(t.lower())) for name in sorted(templates) for t in templates[name]]
+        self.around: dict[str, list[int]] = {}  # the templates a key is for
         self.keys = self._keys()
+        self.words = {word for t in self.postings for word in t.split(" ")}
+        self.pairs: list[list[tuple[str, str, float]]] = [[] for _ in flat]  # first and last word of each term
+        self.squares: list[dict[str, float]] = [{} for _ in flat]
+        for t, found in self.postings.items():
+            for k, w in found:
+                self.squares[k][t] = w * w
+                self.pairs[k].append((t.split(" ")[0], t.split(" ")[-1], w * w))
 
     def _keys(self) -> list[str]:
         """Strings of which every passage at the threshold holds at least one.
@@ -100,14 +119,14 @@ class Scanner:
             key = max(t.split(" "), key=lambda word: (len(word), word))
             for k, w in found:
                 left.setdefault(k, []).append((len(key), key, w))
-        keys = set()
-        for terms_of in left.values():
+        for k, terms_of in left.items():
             aside = 0.0
             for _, key, w in sorted(terms_of):
                 aside += w * w
                 if aside >= self.threshold**2 * (1 - 1e-9):
-                    keys.add(key)
-        return sorted(keys)
+                    if k not in self.around.setdefault(key, []):
+                        self.around[key].append(k)
+        return sorted(self.around)
 
     def cosine(self, passage: str) -> tuple[float, str | None]:
         bag = terms(passage)
@@ -129,6 +148,11 @@ class Scanner:
         keys = [key for key in self.keys if key in low]
         if not keys:
             return None, None
+        words = WORD.findall(text.lower())
+        every, least = set(words), self.threshold**2 * (1 - 1e-9)
+        live = {m for m, of in enumerate(self.pairs) if sum(w for a, b, w in of if a in every and b in every) >= least}
+        if not live:  # no passage has the terms that a cosine at the threshold takes
+            return None, None
         lines = [line for line in text.split("\n") if line.strip()]
         hit = [any(key in line for key in keys) for line in map(str.lower, lines)]
         best, name = 0.0, None
@@ -138,8 +162,41 @@ class Scanner:
                     found, of = self.cosine(" ".join(lines[k : k + size]))
                     if found > best + 1e-12:
                         best, name = found, of
+        for i, j in self.runs(words, live):
+            found, of = self.cosine(" ".join(words[i:j]))
+            if found > best + 1e-12:
+                best, name = found, of
         return (name, best) if best >= self.threshold else (None, None)
 
+    def runs(self, words: list[str], live: set[int]) -> list[tuple[int, int]]:
+        """Runs of words around each key, as many as a template has that it is for,
+        where the terms about it could reach the threshold."""
+        n = len(words)
+        spans = set()
+        for k, word in enumerate(words):
+            of = [m for m in self.around.get(word, ()) if m in live]
+            for m in of:
+                size = self.sizes[m]
+                if self.near(words[max(0, k - size + 1) : k + size], (m,)):
+                    spans |= {(max(0, s), min(n, s + size)) for s in range(k - size + 1, k + 1)}
+        if not spans:
+            return []
+        ends, begins = list(range(n + 1)), list(range(n + 1))  # the nearest place beyond or before which a template's word is
+        for k in range(n):
+            if words[k] not in self.words:
+                ends[k + 1] = ends[k]
+        for k in range(n - 1, -1, -1):
+            if words[k] not in self.words:
+                begins[k] = begins[k + 1]
+        return sorted({(begins[i], ends[j]) for i, j in spans})
+
+    def near(self, words: list[str], templates: Iterable[int]) -> set[int]:
+        """Those of the templates to which a passage of the words could be at the
+        threshold: no cosine exceeds the norm of the terms shared."""
+        found = set(words) | set(map(" ".join, zip(words, words[1:])))
+        least = self.threshold**2 * (1 - 1e-9)
+        return {m for m in templates if sum(w for t, w in self.squares[m].items() if t in found) >= least}
+
 
 def directory(path: Column) -> Column:
     return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))

@@ -426,6 +426,23 @@ def test_licenses(spark):
     )
 
 
+def test_notices_among_other_words():
+    scan = licenses.Scanner(licenses.TEMPLATES, 0.7).scan
+    prose = " ".join(f"word{k}" for k in range(60))
+    for text, name in (
+        ("Copyright (c) Microsoft Corporation. Licensed under the MIT License.", "MIT"),
+        ("Licensed under the Apache License, Version 2.0. See the LICENSE file in the project root for details.", "Apache-2.0"),
+        (f"{prose} Released under the MIT License. {prose}", "MIT"),
+        ("This\nwork is\nlicensed under\nthe GNU\nGeneral Public\nLicense, version 3.", "GPL-3.0"),
+        ("GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n\n Copyright (C) 1989", "GPL-2.0"),
+        ("Mozilla Public License Version 2.0\n=====", "MPL-2.0"),
+        ("MIT License\n\nCopyright (c) 2020 Some One", "MIT"),
+        ("BSD 3-Clause License\n\nCopyright (c) 2020", "BSD-3-Clause"),
+        (f"{prose} you need a license under version 2.0 of this {prose}", None),
+    ):
+        assert scan(text)[0] == name, text
+
+
 def test_cosine_by_hand():
     scanner = licenses.Scanner(licenses.TEMPLATES, 0.7)
     flat = [(n, licenses.terms(t)) for n in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[n]]
