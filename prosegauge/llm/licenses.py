@@ -12,8 +12,7 @@
    ``threshold``; ties go to the first template by name.
 3. A file without one takes the licence of the nearest ancestor directory (its own
    first) that holds a licence file: paths are joined with the directories of
-   licence files over all their ancestors (at most ``max_depth`` levels), as
-   equi-joins of distinct directories, so no directory's files are ever gathered.
+   licence files over all their ancestors, however deep, as equi-joins of distinct directories, so no directory's files are ever gathered.
 
 The templates are short notices and openings written here for well-known public
 licences; others can be passed in.
@@ -209,7 +208,6 @@ def scan_licenses(
     text_col: str = "text",
     templates: dict[str, tuple[str, ...]] = TEMPLATES,
     threshold: float = 0.7,
-    max_depth: int = 32,
 ) -> DataFrame:
     """``files`` with ``own_license``, ``own_cosine``, ``license`` and
     ``license_from`` (``file`` or the directory it is inherited from)."""
@@ -242,7 +240,7 @@ def scan_licenses(
     ancestors = dirs.select(
         "_leaf",
         F.explode(
-            F.transform(F.sequence(F.lit(0), F.least(F.size(parts), F.lit(max_depth))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+            F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
         ).alias("_dir"),
     ).distinct()
     nearest = (

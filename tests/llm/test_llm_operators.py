@@ -426,6 +426,13 @@ def test_licenses(spark):
     )
 
 
+def test_licences_of_deep_paths(spark):
+    deep = "/".join(f"d{k}" for k in range(50))
+    files = [("LICENSE", "Released under the MIT License."), (f"{deep}/LICENSE", "Licensed under CC BY 4.0."), (f"{deep}/x/y.txt", "text")]
+    got = licenses.scan_licenses(spark.createDataFrame(files, "path string, text string")).where("own_license is null").first()
+    assert (got["license"], got["license_from"]) == ("CC-BY-4.0", deep)
+
+
 def test_notices_among_other_words():
     scan = licenses.Scanner(licenses.TEMPLATES, 0.7).scan
     prose = " ".join(f"word{k}" for k in range(60))
