@@ -160,42 +160,47 @@ LINE_TOLERANCE, LINE_LOOKBACK = 3.0, 4
 
 # ---- markup -------------------------------------------------------------------
 
-VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED_TAGS = frozenset("script style noscript svg template".split())
+VOID_TAGS = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"})
+SKIPPED_TAGS = frozenset({"noscript", "script", "style", "svg", "template"})
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote dd details dialog caption div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 h7 header hr legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
-)
-HEADING_TAGS = frozenset("caption dt h1 h2 h3 h4 h5 h6 h7 legend summary th".split())
-TEXT_BLOCK_TAGS = frozenset("p blockquote dd figcaption pre".split())
+    {
+        "address", "article", "aside", "blockquote", "caption", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure",
+        "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "h7", "header", "hr", "legend", "li", "main", "nav", "ol", "p", "pre", "section",
+        "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"
+    }
+)
+HEADING_TAGS = frozenset({"caption", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "h7", "legend", "summary", "th"})
+TEXT_BLOCK_TAGS = frozenset({"blockquote", "dd", "figcaption", "p", "pre"})
 #: Start tags that end an open paragraph.
 ENDS_PARAGRAPH = frozenset(
-    "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section "
-    "table ul".split()
-)
+    {
+        "address", "article", "aside", "blockquote", "div", "dl", "fieldset", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr",
+        "main", "nav", "ol", "p", "pre", "section", "table", "ul"
+    }
+)
 #: Start tags that end an open element of their family: the family, and what shields it.
 ENDS_FAMILY = {
-    "li": ("li", "menu ol ul"),
-    "dt": ("dt dd", "dl"),
-    "dd": ("dt dd", "dl"),
-    "tr": ("tr", "table"),
-    "td": ("td th", "table tr"),
-    "th": ("td th", "table tr"),
-    "thead": ("thead tbody tfoot", "table"),
-    "tbody": ("thead tbody tfoot", "table"),
-    "tfoot": ("thead tbody tfoot", "table"),
-    "option": ("option", "datalist optgroup select"),
-    "optgroup": ("optgroup", "datalist select"),
+    "li": (frozenset({"li"}), frozenset({"menu", "ol", "ul"})),
+    "dt": (frozenset({"dd", "dt"}), frozenset({"dl"})),
+    "dd": (frozenset({"dd", "dt"}), frozenset({"dl"})),
+    "tr": (frozenset({"tr"}), frozenset({"table"})),
+    "td": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
+    "th": (frozenset({"td", "th"}), frozenset({"table", "tr"})),
+    "thead": (frozenset({"tbody", "tfoot", "thead"}), frozenset({"table"})),
+    "tbody": (frozenset({"tbody", "tfoot", "thead"}), frozenset({"table"})),
+    "tfoot": (frozenset({"tbody", "tfoot", "thead"}), frozenset({"table"})),
+    "option": (frozenset({"option"}), frozenset({"datalist", "optgroup", "select"})),
+    "optgroup": (frozenset({"optgroup"}), frozenset({"datalist", "select"})),
 }
-EMPTY_INLINE_TAGS = frozenset("img input hr".split())
-STICKY_ROLES = frozenset("navigation header footer".split())
+EMPTY_INLINE_TAGS = frozenset({"hr", "img", "input"})
+STICKY_ROLES = frozenset({"footer", "header", "navigation"})
 
 # ---- word-processor structure -------------------------------------------------
 
 WORD_NAMESPACE = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 WORD_ROLES = ("cover", "cover_position", "table_of_contents", "instruction", "metadata")
 WORD_BASES = ("gallery", "style", "field", "label", "table", "builder", "section")
-MARKABLE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li".split())
+MARKABLE_TAGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6", "li", "p"})
 WORD_MARKER = "scope_[0-9a-f]{16}_[0-9]+"
 COVER_MAX_WORDS, COVER_MAX_PARAGRAPH_WORDS = 100, 25
 METADATA_HEADINGS = ("basic information", "before you begin")

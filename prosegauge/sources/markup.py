@@ -25,6 +25,11 @@ from prosegauge import fixed
 Event = tuple[str, str, dict[str, str] | None]
 Block = tuple[str, str, str]
 _SPACES = re.compile(r"\s+")
+#: What a start tag ends, and what shields it.
+_ENDED = {
+    tag: (family | ({"p"} if tag in fixed.ENDS_PARAGRAPH else set()), shields)
+    for tag, (family, shields) in (dict.fromkeys(fixed.ENDS_PARAGRAPH, (frozenset(), frozenset())) | fixed.ENDS_FAMILY).items()
+}
 
 
 class _Events(HTMLParser):
@@ -59,14 +64,13 @@ def events(html: str) -> list[Event]:
 
 def closes(open_tags: list[str], tag: str) -> int | None:
     """Depth to which a start tag cuts the stack of open tags, if it does."""
-    family, shields = fixed.ENDS_FAMILY.get(tag, ("", ""))
-    ended = set(family.split()) | ({"p"} if tag in fixed.ENDS_PARAGRAPH else set())
-    if not ended:
+    if tag not in _ENDED:
         return None
+    ended, shields = _ENDED[tag]
     for depth in reversed(range(len(open_tags))):
         if open_tags[depth] in ended:
             return depth
-        if open_tags[depth] in shields.split():
+        if open_tags[depth] in shields:
             return None
     return None
 
