@@ -1,9 +1,12 @@
 """Tagged pages: words and structure tags to role-labelled segments.
 
 Inputs are tables of words, tags, filled shapes and annotations (see ``schema``);
-every stage is keyed by ``doc_id`` and mostly ``page``.  One Arrow function folds
-words into visual lines, because which line a word joins depends on the words
-before it; the rest is joins, aggregations and ordered arrays.
+every stage is keyed by ``doc_id`` and mostly ``page``.  Words meet their tags, then
+their page, in one exchange each; lines, groups, panels, links and running
+navigation are made of a page's words where these lie, and one exchange by
+document orders the segments and joins what runs over pages.  One Arrow function
+folds words into visual lines, because which line a word joins depends on the
+words before it; it receives positions only.
 
 Defined cases: words of white space are dropped; words without a tag form lines
 after their page's groups; tags that name the same content twice are void;
@@ -19,7 +22,7 @@ from statistics import median
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from prosegauge import fixed
 from prosegauge.functions.chars import strip
@@ -31,6 +34,7 @@ METHOD = "pdf-tagged-structure-group-resolver@0.3.8"
 COVER_TAG = "^[A-Za-z]*Cover$"
 CONTENTS_TAG = "^(?:TOC|[A-Za-z]*Contents)$"
 _PAGE = ["doc_id", "page"]
+_BOX = ("left", "top", "right", "bottom")
 
 
 # ---- tags ----------------------------------------------------------------------
@@ -141,35 +145,33 @@ def fold_lines(words: list[tuple[float, float, int]]) -> list[int]:
     return at
 
 
-def with_lines(words: DataFrame) -> DataFrame:
-    """``words`` with ``line``: inside each tagged item of a group, and among a
-    page's words without a group."""
-    kept = words.columns
-    pages = words.withColumn("_item", F.concat_ws("|", "group_id", "rank")).groupBy(*_PAGE).agg(
-        F.collect_list(F.struct("_item", *kept)).alias("words")
-    )
-    pages = pages.select(
-        *_PAGE, "words", F.transform("words", lambda w: F.struct(w["_item"].alias("item"), w["top"].alias("top"), w["left"].alias("left"), w["native_index"].alias("k"))).alias("places")
-    )
+def _line_numbers(places: pa.Array) -> pa.Array:
+    """Of each page's words: lines inside each tagged item, and among words without one."""
+    found = []
+    for page in places.to_pylist():
+        items: dict[str, list[int]] = {}
+        for k, p in enumerate(page):
+            items.setdefault(p["item"], []).append(k)
+        lines = [0] * len(page)
+        for members in items.values():
+            for k, line in zip(members, fold_lines([(page[m]["top"], page[m]["left"], page[m]["k"]) for m in members])):
+                lines[k] = line
+        found.append(lines)
+    return pa.array(found, pa.list_(pa.int32()))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = []
-            for places in batch.column(3).to_pylist():
-                items: dict[str, list[int]] = {}
-                for k, p in enumerate(places):
-                    items.setdefault(p["item"], []).append(k)
-                lines = [0] * len(places)
-                for members in items.values():
-                    for k, line in zip(members, fold_lines([(places[m]["top"], places[m]["left"], places[m]["k"]) for m in members])):
-                        lines[k] = line
-                found.append(lines)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int32()))], names=[*_PAGE, "words", "lines"])
-
-    schema = StructType([pages.schema[c] for c in (*_PAGE, "words")]).add("lines", ArrayType(IntegerType()))
-    folded = pages.mapInArrow(run, schema)
-    rows = folded.select(F.explode(F.arrays_zip("words", "lines")).alias("z")).select("z.words.*", F.col("z.lines").alias("line"))
-    return rows.select(*kept, "line")
+
+def by_page(words: DataFrame) -> DataFrame:
+    """``doc_id``, ``page`` and ``words``, an array of all that is known of each."""
+    return words.groupBy(*_PAGE).agg(F.collect_list(F.struct(*[c for c in words.columns if c not in _PAGE])).alias("words"))
+
+
+def page_lines(pages: DataFrame) -> DataFrame:
+    """Pages with ``lines``, the line of each word; only positions go through Python."""
+    fold = F.arrow_udf(_line_numbers, ArrayType(IntegerType()))
+    place = lambda w: F.struct(
+        F.concat_ws("|", w["group_id"], w["rank"]).alias("item"), w["top"].alias("top"), w["left"].alias("left"), w["native_index"].alias("k")
+    )
+    return pages.withColumn("lines", fold(F.transform("words", place)))
 
 
 # ---- panels --------------------------------------------------------------------
@@ -210,132 +212,149 @@ def inside_panel(word: Column, panel: Column) -> Column:
     return x.between(panel["left"], panel["right"]) & y.between(panel["top"], panel["bottom"])
 
 
-# ---- groups --------------------------------------------------------------------
+# ---- running navigation and links ------------------------------------------------
 
 
-def repeated_navigation(words: DataFrame) -> DataFrame:
+def _last(path: Column) -> Column:
+    return F.get(path, F.size(path) - 1)
+
+
+def page_navigation(pages: DataFrame) -> DataFrame:
     """Groups (``doc_id``, ``page``, ``group_id``) in the top band all of whose words
     have an artifact twin on two other pages or more.
 
     Only top-band words meet, by document and text; pages that answer for a group
     are counted word by word, and must answer for all of its words.
     """
-    slack = fixed.TWIN_TOLERANCE
-    sized = words.where("group_id is not null").groupBy(*_PAGE, "group_id").agg(F.count("*").alias("size"), F.max("bottom").alias("low"))
-    top = words.join(sized.where(F.col("low") <= fixed.TOP_BAND).drop("low"), [*_PAGE, "group_id"])
-    twins = words.where((_last(F.col("tag_path")) == "Artifact") & (F.col("bottom") <= fixed.TOP_BAND)).select(
-        "doc_id", "text", F.col("page").alias("other"), *[F.col(c).alias(f"twin_{c}") for c in ("left", "top", "right", "bottom")]
+    slack, high = fixed.TWIN_TOLERANCE, lambda w: w["bottom"] <= fixed.TOP_BAND
+    low = F.array_distinct(F.transform(F.filter("words", lambda w: w["group_id"].isNotNull() & ~high(w)), lambda w: w["group_id"]))
+    held = pages.select(*_PAGE, "words", low.alias("low"))
+    top = held.select(*_PAGE, F.explode(F.filter("words", lambda w: w["group_id"].isNotNull() & high(w) & ~F.array_contains("low", w["group_id"]))).alias("w"))
+    top = top.select(*_PAGE, "w.group_id", "w.text", "w.native_index", *[f"w.{c}" for c in _BOX])
+    top = top.withColumn("size", F.count("*").over(Window.partitionBy(*_PAGE, "group_id")))
+    artifact = F.explode(F.filter("words", lambda w: high(w) & (_last(w["tag_path"]) == "Artifact")))
+    twins = pages.select("doc_id", F.col("page").alias("other"), artifact.alias("w")).select(
+        "doc_id", "other", "w.text", *[F.col(f"w.{c}").alias(f"twin_{c}") for c in _BOX]
     )
-    near = [F.abs(F.col(c) - F.col(f"twin_{c}")) <= slack for c in ("left", "top", "right", "bottom")]
+    near = [F.abs(F.col(c) - F.col(f"twin_{c}")) <= slack for c in _BOX]
     met = top.join(twins, ["doc_id", "text"]).where((F.col("page") != F.col("other")) & near[0] & near[1] & near[2] & near[3])
     answered = met.groupBy(*_PAGE, "group_id", "size", "other").agg(F.countDistinct("native_index").alias("n")).where("n = size")
     return answered.groupBy(*_PAGE, "group_id").agg(F.count("*").alias("n")).where(F.col("n") >= fixed.TWIN_PAGES).select(*_PAGE, "group_id")
 
 
-def _last(path: Column) -> Column:
-    return F.get(path, F.size(path) - 1)
+def repeated_navigation(words: DataFrame) -> DataFrame:
+    """``page_navigation`` of tagged words."""
+    return page_navigation(by_page(words))
 
 
-def _box(prefix: str = "") -> Column:
-    return F.struct(*[F.col(prefix + c).alias(c) for c in ("left", "top", "right", "bottom")])
+def page_links(annots: DataFrame) -> DataFrame:
+    """``links`` of each page: what they say, and where."""
+    own = annots.where(F.regexp_replace(F.coalesce("subtype", F.lit("")), "^[/']+|[/']+$", "") == "Link")
+    return own.groupBy(*_PAGE).agg(F.collect_list(F.struct(normalized(F.col("contents")).alias("key"), *_BOX)).alias("links"))
 
 
-_EXTENT = (F.min, "left"), (F.min, "top"), (F.max, "right"), (F.max, "bottom")
+# ---- groups and lines of a page ---------------------------------------------------
 
 
-def groups(words: DataFrame, of_panels: DataFrame) -> DataFrame:
-    """Group segments by page with ``group_id``, ``group_tag`` and ``in_panel``."""
-    w = words.where("group_id is not null").join(of_panels, _PAGE, "left")
-    word = F.struct("left", "top", "right", "bottom")
-    w = w.withColumn("_in", F.coalesce(F.exists("panels", lambda p: inside_panel(word, p)), F.lit(False)))
-    w = w.withColumn(
-        "_scope",
-        F.when(F.exists("tag_path", lambda t: t.rlike(COVER_TAG)), "cover").when(F.exists("tag_path", lambda t: t.rlike(CONTENTS_TAG)), "table_of_contents").otherwise("own"),
-    )
-    w = w.withColumn("_label", F.concat_ws(">", F.slice("tag_path", F.greatest(F.size("tag_path") - 2, F.lit(1)), 3)) == "L>LI>Lbl")
-    place = F.struct("rank", "line", "left", "native_index", "text")
-    g = w.groupBy(*_PAGE, "group_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"]), " ").alias("text"),
-        *[f(c).alias(c) for f, c in _EXTENT],
-        F.min("rank").alias("rank"),
-        F.collect_set("group_tag").alias("tags"),
-        F.bool_and(F.col("cell_id").isNotNull()).alias("in_cell"),
-        F.bool_and("_label").alias("label"),
-        F.collect_set("_scope").alias("scopes"),
-        F.bool_or("_in").alias("in_panel"),
-        F.bool_and("_in").alias("all_in_panel"),
-        F.collect_set(F.when(F.col("cell_id") != F.col("group_id"), F.col("cell_id"))).alias("cells"),
-    )
-    g = g.join(repeated_navigation(words).withColumn("navigation", F.lit(True)), [*_PAGE, "group_id"], "left")
+def _group_facts() -> Column:
+    """Role, confidence, basis and warnings of a group."""
     tag = F.when(F.size("tags") == 1, F.get("tags", F.lit(0)))
     table = F.create_map(*[F.lit(x) for pair in fixed.ROLE_OF_TAG.items() for x in pair])
     role = F.when(tag.isin(*fixed.CELL_BLOCK_TAGS) & F.col("in_cell"), "table").otherwise(F.coalesce(F.element_at(table, tag), F.lit("unknown")))
-    numbered = (tag == "Lbl") & F.col("label") & strip(F.col("text")).rlike(r"^(?:[0-9]+[.)]|\([0-9]+\))$")
-    g = g.withColumn("group_tag", tag).withColumn("numbered", F.coalesce(numbered, F.lit(False)))
-    g = g.withColumn("role0", F.when(F.col("numbered"), "decorative").otherwise(role))
-    scoped = F.array_distinct(F.transform("scopes", lambda s: F.when(s == "own", F.col("role0")).otherwise(s)))
-    g = g.withColumn("scoped", scoped)
-    one = F.size("scoped") == 1
-    crosses_panel = F.col("in_panel") & ~F.col("all_in_panel")
-    navigation = F.coalesce("navigation", F.lit(False))
-    role = F.when(crosses_panel, "unknown").when(navigation, "navigation").when(one, F.get("scoped", F.lit(0))).otherwise("unknown")
+    numbered = F.coalesce((tag == "Lbl") & F.col("label") & strip(F.col("text")).rlike(r"^(?:[0-9]+[.)]|\([0-9]+\))$"), F.lit(False))
+    own = F.when(numbered, "decorative").otherwise(role)
+    scoped = F.array_distinct(F.transform("scopes", lambda s: F.when(s == "own", own).otherwise(s)))
+    one, scope = F.size(scoped) == 1, F.get(scoped, F.lit(0))
+    crosses = F.col("in_panel") & ~F.col("all_in_panel")
+    role = F.when(crosses, "unknown").when(F.col("navigation"), "navigation").when(one, scope).otherwise("unknown")
     some = lambda when, text: F.when(when, F.lit(text)).otherwise("")
     basis = F.concat(
         F.lit(METHOD),
-        F.coalesce(F.concat(F.lit(":"), F.col("group_tag")), F.lit("")),
-        some(F.col("numbered"), ":source-declared-numeric-list-label"),
-        some(one & (F.get("scoped", F.lit(0)) != F.col("role0")), ":source-declared-container"),
-        some(navigation, ":repeated-top-artifact-support"),
+        F.coalesce(F.concat(F.lit(":"), tag), F.lit("")),
+        some(numbered, ":source-declared-numeric-list-label"),
+        some(one & (scope != own), ":source-declared-container"),
+        some(F.col("navigation"), ":repeated-top-artifact-support"),
         some(F.col("in_panel"), ":right-bleed-panel"),
     )
-    g = g.withColumn("role", role)
     warnings = F.array_compact(
         F.array(
             F.when(~one, F.lit("structure_group_crosses_scope_boundary")),
-            F.when(crosses_panel, F.lit("structure_group_crosses_panel_boundary")),
-            F.when(F.col("role") == "unknown", F.lit("unsupported_structure_group_tag")),
+            F.when(crosses, F.lit("structure_group_crosses_panel_boundary")),
+            F.when(role == "unknown", F.lit("unsupported_structure_group_tag")),
         )
     )
-    nth = F.row_number().over(Window.partitionBy(*_PAGE).orderBy("rank"))
-    return g.select(
-        *_PAGE, "group_id", "group_tag", "in_panel", "cells", nth.alias("nth"), strip(F.col("text")).alias("text"), _box().alias("bbox"),
-        "role", F.when(F.col("role") == "unknown", "unknown").otherwise("high").alias("role_confidence"), basis.alias("role_basis"),
-        F.when(nth == 1, "page").otherwise("paragraph").alias("boundary_before"), warnings.alias("warnings"),
-    )
-
-
-def remainder(words: DataFrame, annots: DataFrame) -> DataFrame:
-    """Line segments of words without a group."""
-    place = F.struct("left", "native_index", "text")
-    lines = words.where("group_id is null").groupBy(*_PAGE, "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"]), " ").alias("text"),
-        *[f(c).alias(c) for f, c in _EXTENT],
-        F.collect_set(_last(F.col("tag_path"))).alias("tags"),
-    )
-    lines = lines.withColumn("_key", normalized(F.col("text")))
-    links = annots.where(F.regexp_replace(F.coalesce("subtype", F.lit("")), "^[/']+|[/']+$", "") == "Link").select(
-        *_PAGE, normalized(F.col("contents")).alias("_key"), *[F.col(c).alias(f"link_{c}") for c in ("left", "top", "right", "bottom")]
-    )
-    slack = fixed.LINK_TOLERANCE
-    linked = lines.join(links, [*_PAGE, "_key"]).where(
-        (F.col("left") >= F.col("link_left") - slack)
-        & (F.col("top") >= F.col("link_top") - slack)
-        & (F.col("right") <= F.col("link_right") + slack)
-        & (F.col("bottom") <= F.col("link_bottom") + slack)
-    )
-    flagged = lines.join(linked.select(*_PAGE, "line").distinct().withColumn("link", F.lit(True)), [*_PAGE, "line"], "left")
-    artifact = (F.size("tags") == 1) & (F.coalesce(F.get("tags", F.lit(0)), F.lit("")) == "Artifact")
-    link = F.coalesce("link", F.lit(False))
+    return F.struct(role.alias("role"), F.when(role == "unknown", "unknown").otherwise("high").alias("role_confidence"), basis.alias("role_basis"), warnings.alias("warnings"))
+
+
+def _line_facts() -> Column:
+    """The same of a line of words without a group."""
+    slack, key = fixed.LINK_TOLERANCE, normalized(F.col("text"))
+
+    def holds(link: Column) -> Column:
+        return (
+            (link["key"] == key)
+            & (F.col("left") >= link["left"] - slack)
+            & (F.col("top") >= link["top"] - slack)
+            & (F.col("right") <= link["right"] + slack)
+            & (F.col("bottom") <= link["bottom"] + slack)
+        )
+
+    artifact = (F.size("leaves") == 1) & (F.coalesce(F.get("leaves", F.lit(0)), F.lit("")) == "Artifact")
+    link = F.coalesce(F.exists("links", holds), F.lit(False))
     pick = lambda a, b, c: F.when(artifact, a).when(link, b).otherwise(c)
     none = F.array().cast("array<string>")
-    return flagged.select(
-        *_PAGE, (F.col("line") + 1).alias("nth"), "text", _box().alias("bbox"),
+    return F.struct(
         pick("decorative", "navigation", "unknown").alias("role"),
         pick("high", "high", "unknown").alias("role_confidence"),
         F.concat(F.lit(METHOD + ":"), pick("Artifact", "LinkAnnotation", "untagged")).alias("role_basis"),
-        F.lit("paragraph").alias("boundary_before"),
         pick(F.array(F.lit("source_declared_artifact")), none, F.array(F.lit("untagged_content_order_unresolved"))).alias("warnings"),
-    )
+    )
+
+
+def page_units(words: DataFrame, of_panels: DataFrame, of_links: DataFrame) -> DataFrame:
+    """Groups (``kind`` 0) and lines of words without a group (1), numbered in their
+    page (``nth``), with role, basis, warnings and, of groups, ``group_tag``,
+    ``in_panel`` and the table ``cells`` of other groups that they stand in."""
+    pages = by_page(words)
+    names = pages.schema["words"].dataType.elementType.names
+    inside = lambda w: F.coalesce(F.exists("panels", lambda p: inside_panel(w, p)), F.lit(False))
+    placed = page_lines(pages).join(of_panels, _PAGE, "left").select(*_PAGE, "words", "lines", F.transform("words", inside).alias("inside"))
+    z = placed.select(*_PAGE, F.explode(F.arrays_zip("words", "lines", "inside")).alias("z"))
+    w = z.select(*_PAGE, *[F.col(f"z.words.{c}").alias(c) for c in names], F.col("z.lines").alias("line"), F.col("z.inside").alias("_in"))
+    own = F.col("group_id").isNotNull()
+    cover, contents = F.exists("tag_path", lambda t: t.rlike(COVER_TAG)), F.exists("tag_path", lambda t: t.rlike(CONTENTS_TAG))
+    w = w.withColumns(
+        {
+            "kind": F.when(own, 0).otherwise(1),
+            "_line": F.when(~own, F.col("line")),
+            "_scope": F.when(cover, "cover").when(contents, "table_of_contents").otherwise("own"),
+            "_label": F.concat_ws(">", F.slice("tag_path", F.greatest(F.size("tag_path") - 2, F.lit(1)), 3)) == "L>LI>Lbl",
+        }
+    )
+    place = F.struct("rank", "line", "left", "native_index", "text")
+    units = w.groupBy(*_PAGE, "kind", "group_id", "_line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(place)), lambda x: x["text"]), " ").alias("text"),
+        *[f(c).alias(c) for f, c in zip((F.min, F.min, F.max, F.max), _BOX)],
+        F.min("rank").alias("rank"),
+        F.collect_set("group_tag").alias("tags"),
+        F.collect_set(_last(F.col("tag_path"))).alias("leaves"),
+        F.bool_and(F.col("cell_id").isNotNull()).alias("in_cell"),
+        F.bool_and("_label").alias("label"),
+        F.collect_set("_scope").alias("scopes"),
+        F.bool_or("_in").alias("in_panel"),
+        F.bool_and("_in").alias("all_in_panel"),
+        F.collect_set(F.when(F.col("cell_id") != F.col("group_id"), F.col("cell_id"))).alias("cells"),
+    )
+    running = page_navigation(pages).groupBy(*_PAGE).agg(F.collect_set("group_id").alias("running"))
+    units = units.join(running, _PAGE, "left").join(of_links, _PAGE, "left")
+    units = units.withColumn("navigation", F.coalesce(F.array_contains("running", F.col("group_id")), F.lit(False)))
+    group = F.col("kind") == 0
+    nth = F.when(group, F.row_number().over(Window.partitionBy(*_PAGE, "kind").orderBy("rank"))).otherwise(F.col("_line") + 1)
+    return units.select(
+        *_PAGE, "kind", "group_id", F.when(group & (F.size("tags") == 1), F.get("tags", F.lit(0))).alias("group_tag"), (group & F.col("in_panel")).alias("in_panel"),
+        "cells", nth.alias("nth"), F.when(group, strip(F.col("text"))).otherwise(F.col("text")).alias("text"), F.struct(*_BOX).alias("bbox"),
+        F.when(group, _group_facts()).otherwise(_line_facts()).alias("found"), F.when(group & (nth == 1), "page").otherwise("paragraph").alias("boundary_before"),
+    ).select("*", "found.*").drop("found")
 
 
 # ---- documents -----------------------------------------------------------------
@@ -344,31 +363,33 @@ def remainder(words: DataFrame, annots: DataFrame) -> DataFrame:
 def tagged_segments(words: DataFrame, tags: DataFrame, shapes: DataFrame, annots: DataFrame, pages: DataFrame) -> DataFrame:
     """Segments of tagged documents in reading order, with ``kind`` (group or
     line), ``in_panel`` and, for what runs over several pages, ``pages``."""
-    own = with_lines(tagged_words(words, tags))
-    found = groups(own, panels(shapes, pages))
-    nested = found.select("doc_id", F.explode("cells").alias("group_id")).distinct().withColumn("_nested", F.lit(True))
-    g = found.join(nested, ["doc_id", "group_id"], "left")
-    g = g.withColumn("kind", F.lit(0)).drop("cells")
-    rest = remainder(own, annots).withColumn("kind", F.lit(1))
-    rows = g.unionByName(rest, allowMissingColumns=True)
+    units = page_units(tagged_words(words, tags), panels(shapes, pages), page_links(annots))
     order = F.row_number().over(Window.partitionBy("doc_id").orderBy("page", "kind", "nth"))
-    rows = rows.withColumn("reading_order", order)
+    units = units.withColumn("reading_order", order)
+    # what has one key in a document: the parts of a group by page, a line by itself; and a
+    # cell that other groups stand in has a mark under its key
+    part = F.struct("reading_order", *[c for c in units.columns if c not in ("doc_id", "reading_order")])
+    key = F.coalesce("group_id", F.concat(F.lit("\0"), F.col("reading_order").cast("string")))
+    keyed = units.select(
+        "doc_id",
+        F.explode(
+            F.concat(
+                F.array(F.struct(key.alias("key"), F.lit(False).alias("nested"), part.alias("part"))),
+                F.transform("cells", lambda c: F.struct(c.alias("key"), F.lit(True).alias("nested"), F.lit(None).cast(units.select(part.alias("p")).schema["p"].dataType).alias("part"))),
+            )
+        ).alias("k"),
+    ).select("doc_id", "k.*")
+    whole = keyed.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.bool_or("nested").alias("nested"))
     # one paragraph, list body or cell over several pages
-    fit = F.col("group_tag").isin(*fixed.CONTINUED_TAGS) & F.col("_nested").isNull() & F.col("role").isin("body", "list", "table") & (F.size("warnings") == 0)
-    continued = (
-        rows.where("group_id is not null")
-        .groupBy("doc_id", "group_id")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("reading_order", "text", "page"))).alias("parts"),
-            F.bool_and(F.coalesce(fit, F.lit(False))).alias("fit"),
-            F.countDistinct("role", "role_basis").alias("kinds"),
-        )
-        .where("fit and kinds = 1 and size(parts) > 1")
-        .select("doc_id", "group_id", "parts")
+    fit = F.forall(
+        "parts",
+        lambda p: F.coalesce(p["group_tag"].isin(*fixed.CONTINUED_TAGS) & p["role"].isin("body", "list", "table") & (F.size(p["warnings"]) == 0), F.lit(False)),
     )
-    rows = rows.join(continued, ["doc_id", "group_id"], "left")
-    merged = F.col("parts").isNotNull()
-    rows = rows.where(~merged | (F.col("reading_order") == F.get("parts", F.lit(0))["reading_order"]))
+    kinds = F.size(F.array_distinct(F.transform("parts", lambda p: F.struct(p["role"], p["role_basis"]))))
+    whole = whole.where("size(parts) > 0").withColumn("merged", (F.size("parts") > 1) & ~F.col("nested") & fit & (kinds == 1))
+    rows = whole.select("doc_id", "merged", "parts", F.explode(F.when(F.col("merged"), F.slice("parts", 1, 1)).otherwise(F.col("parts"))).alias("p"))
+    rows = rows.select("doc_id", "merged", "parts", "p.*")
+    merged = F.col("merged")
     suffix = F.when(F.col("role") == "list", ":cross-page-list-body").when(F.col("role") == "table", ":cross-page-table-cell").otherwise(":cross-page-paragraph")
     made = segment(
         segment_id=F.format_string("p%04d-%s%04d", F.col("page"), F.when(F.col("kind") == 0, "g").otherwise("u"), F.col("nth")),
@@ -384,20 +405,23 @@ def tagged_segments(words: DataFrame, tags: DataFrame, shapes: DataFrame, annots
     )
     kind = F.when(F.col("kind") == 0, "group").otherwise("line")
     pages_of = F.when(merged, F.transform("parts", lambda p: p["page"])).otherwise(F.array("page"))
-    return rows.select("doc_id", made.alias("s"), kind.alias("kind"), F.coalesce("in_panel", F.lit(False)).alias("in_panel"), pages_of.alias("pages")).select(
-        "doc_id", "s.*", "kind", "in_panel", "pages"
-    )
+    return rows.select("doc_id", made.alias("s"), kind.alias("kind"), "in_panel", pages_of.alias("pages")).select("doc_id", "s.*", "kind", "in_panel", "pages")
 
 
-def resolution(segments: DataFrame) -> DataFrame:
-    """Per document: how many groups and lines were resolved, and how."""
+def resolution_counts() -> list[Column]:
+    """How many groups and lines of a document were resolved, and how: aggregates over
+    its segments."""
     basis = F.col("role_basis")
     n = lambda when: F.count_if(when).alias
     group = F.col("kind") == "group"
-    return segments.groupBy("doc_id").agg(
+    return [
         F.sum(F.when(group, F.size("pages")).otherwise(0)).cast("long").alias("tagged_group_count"),
         F.sum(F.when(group & F.col("in_panel"), F.size("pages")).otherwise(0)).cast("long").alias("panel_group_count"),
         n(basis == f"{METHOD}:Artifact")("artifact_group_count"),
         n(basis == f"{METHOD}:LinkAnnotation")("link_annotation_group_count"),
         n(F.col("role") == "unknown")("unknown_group_count"),
-    )
+    ]
+
+
+def resolution(segments: DataFrame) -> DataFrame:
+    return segments.groupBy("doc_id").agg(*resolution_counts())

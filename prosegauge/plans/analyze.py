@@ -30,11 +30,12 @@ from prosegauge.functions.chars import half_even, strip
 from prosegauge.operators import measure, pages, reflow, selection
 from prosegauge.operators.reliability import reliability
 from prosegauge.plans.registry import ADAPTERS, choose_adapter, configuration_sha256
-from prosegauge.schema import exploded, gathered
+from prosegauge.schema import exploded, gathered, with_document_fields
 from prosegauge.sources.files import SourceBundle, bundle_frame
 from prosegauge.sources.profiles import Profile, load_profile
 
 ENGINE = "prosegauge"
+IDENTIFIERS = ("production_path", "document_id", "revision")
 
 
 def _texts(segments: Column) -> Column:
@@ -250,7 +251,7 @@ def analysis_results(measured: DataFrame, profile: Profile, *, adapter=None, est
     is_word = adapter is not None and adapter.id == "word-derived-html-adapter"
     schema_version = "1.3.0" if is_word else "1.2.0" if estimate != "none" else "1.1.0"
     text = lambda x: F.lit(x).cast("string")
-    rows = measured.withColumn("coverage_summary", _coverage())
+    rows = with_document_fields(measured).withColumn("coverage_summary", _coverage())
     identity = F.struct(
         text(adapter.id if adapter else None).alias("id"),
         text(adapter.version if adapter else None).alias("version"),
@@ -260,7 +261,7 @@ def analysis_results(measured: DataFrame, profile: Profile, *, adapter=None, est
         text(adapter.distribution_version if adapter else None).alias("distribution_version"),
         text(config_sha256).alias("configuration_sha256"),
         F.array(*map(F.lit, sorted(adapter.capabilities if adapter else ()))).cast("array<string>").alias("declared_capabilities"),
-        F.array(*map(F.lit, sorted(adapter.capabilities if adapter else ()))).cast("array<string>").alias("capabilities_used"),
+        F.array_sort(F.coalesce("capabilities_used", F.array(*map(F.lit, adapter.capabilities if adapter else ())).cast("array<string>"))).alias("capabilities_used"),
         F.col("coverage").alias("extraction_coverage"),
         F.array().cast("array<string>").alias("fallback_history"),
         F.col("support")["evidence"].alias("support_evidence"),
@@ -275,7 +276,7 @@ def analysis_results(measured: DataFrame, profile: Profile, *, adapter=None, est
         "doc_id",
         F.lit(schema_version).alias("schema_version"),
         F.uuid().alias("analysis_id"),
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("generated_at"),
+        F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("generated_at"),
         F.struct(F.lit(ENGINE).alias("name"), F.lit(__version__).alias("version")).alias("engine"),
         source.alias("source"),
         identity.alias("adapter"),
@@ -303,7 +304,7 @@ def metric_rows(measured: DataFrame, profile: Profile, *, estimate: str = "none"
 def plain_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Plain text as normalized documents: each line that is not blank is a body block."""
     from prosegauge.functions.lines import normalized
-    from prosegauge.schema import segment, with_document_fields
+    from prosegauge.schema import segment
 
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), normalized), lambda t: t != "")
     made = docs.select(F.col(key).alias("doc_id"), lines.alias("_lines"))
@@ -341,10 +342,13 @@ def analyze(
         .when((F.size("artifacts") > 1) & F.lit(not pipeline.accepts_auxiliaries), F.lit(f"Pipeline {pipeline.reference} does not accept auxiliary artifacts"))
         .when(F.col("support")["status"] == "unsupported", F.col("support")["reason"])
     )
-    assessed = sources.withColumn("support", plugin.assess(sources)).withColumn("_wrong", wrong)
+    blank = F.array_compact(F.array(*[F.when(F.trim(F.col(n)) == "", F.lit(n)) for n in IDENTIFIERS]))
+    unnamed = F.when(F.size(blank) > 0, F.concat(F.array_join(blank, ", "), F.lit(" must not be empty")))
+    assessed = sources.withColumn("support", plugin.assess(sources)).withColumns({"_unnamed": unnamed, "_wrong": F.coalesce(unnamed, wrong)})
     documents = plugin.extract(assessed, settings).drop("content", "auxiliaries")
-    refused = F.when(F.col("_wrong").isNotNull(), F.struct(F.lit(AdapterContractError.code).alias("code"), F.col("_wrong").alias("message")))
-    documents = documents.withColumn("error", F.coalesce(refused, F.col("error"))).drop("_wrong")
+    code = F.when(F.col("_unnamed").isNotNull(), InputError.code).otherwise(AdapterContractError.code)
+    refused = F.when(F.col("_wrong").isNotNull(), F.struct(code.alias("code"), F.col("_wrong").alias("message")))
+    documents = documents.withColumn("error", F.coalesce(refused, F.col("error"))).drop("_wrong", "_unnamed")
     measured = measure_documents(documents, chosen, estimate=pipeline.estimate)
     return analysis_results(measured, chosen, adapter=plugin, estimate=pipeline.estimate, config_sha256=settings_hash)
 
@@ -370,7 +374,7 @@ def analyze_one(
     config: Mapping | None = None,
 ) -> dict:
     """Result of one source held by the caller; a source's error raises."""
-    for name, value in (("production_path", production_path), ("document_id", document_id), ("revision", revision)):
+    for name, value in zip(IDENTIFIERS, (production_path, document_id, revision)):
         if value is not None and not (isinstance(value, str) and value.strip()):
             raise InputError(f"{name} must be a non-empty string")
     bundle = source if isinstance(source, SourceBundle) else SourceBundle.from_pdf(source)

@@ -41,6 +41,9 @@ DOCUMENT_FIELDS = (
     ("support", f"struct<status:string,evidence:{EVIDENCE},reason:string>"),
     ("extraction_evidence", EVIDENCE),
     ("dependencies", "map<string,string>"),
+    # null: the primary artifact, and all that the adapter declares
+    ("artifacts_consumed", "array<string>"),
+    ("capabilities_used", "array<string>"),
     ("error", "struct<code:string,message:string>"),
 )
 
@@ -68,11 +71,16 @@ def exploded(documents: DataFrame, *keep: str) -> DataFrame:
     return documents.select(*keep, F.explode("segments").alias("s")).select(*keep, "s.*")
 
 
+def gathered_segments(columns: list[str]) -> Column:
+    """Aggregate: an array of segments in reading order, of rows with these columns."""
+    row = segment(**{n: F.col(n) for n, _ in SEGMENT_FIELDS if n in columns})
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("reading_order").cast("int").alias("k"), row.alias("s"))), lambda a, b: a["k"] - b["k"])
+    return F.transform(ordered, lambda x: x["s"])
+
+
 def gathered(segments: DataFrame, key: str = "doc_id") -> DataFrame:
     """The reverse of ``exploded``: segments in reading order, a row a document."""
-    row = segment(**{n: F.col(n) for n, _ in SEGMENT_FIELDS if n in segments.columns})
-    ordered = F.array_sort(F.collect_list(F.struct(F.col("reading_order").cast("int").alias("k"), row.alias("s"))), lambda a, b: a["k"] - b["k"])
-    return segments.groupBy(key).agg(F.transform(ordered, lambda x: x["s"]).alias("segments"))
+    return segments.groupBy(key).agg(gathered_segments(segments.columns).alias("segments"))
 
 
 def evidence(*items: tuple[str, Column | str, str]) -> Column:

@@ -5,22 +5,27 @@ them ``DependencyError`` is raised before any job starts.  Pages of a file are
 read in one task, files in many.  Alignment of line geometry has no need of
 them and works on any two lists of lines.
 
-Defined cases: a page whose text cannot be read has no lines and is listed as
-failed; lines without matching geometry have no box.
+Every file is read once: what was read goes to the shared checkpoint folder.
+
+Defined cases: a file that is missing or cannot be read has empty tables and an
+``error``, and never ends the job; a page whose text cannot be read has no lines
+and is listed as failed; lines without matching geometry have no box.
 """
 
 from __future__ import annotations
 
 import importlib.util
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from prosegauge import fixed
-from prosegauge.errors import DependencyError
+from prosegauge.errors import AdapterExecutionError, DependencyError, InputError
+from prosegauge.runtime import cut
 from prosegauge.schema import BBOX, evidence, support
 
 LIBRARIES = ("pdfplumber", "pypdf")
@@ -34,7 +39,7 @@ def need_libraries() -> None:
 
 
 def has_pdf_header(content: Column) -> Column:
-    return F.instr(F.hex(F.substring(content, 1, 1024)), "255044462D") > 0
+    return F.instr(F.substring(content, 1, 1024).cast("string"), "%PDF-") > 0
 
 
 def pdf_support(content: Column, kind: Column) -> Column:
@@ -90,27 +95,44 @@ _PAGE_TABLES = {
     "pages": "array<struct<page:int,width:double,height:double,extraction_failed:boolean>>",
     "tree": "string",
     "metadata": "map<string,string>",
+    "error": "struct<code:string,message:string>",
 }
 
 
-def read_pages(sources: DataFrame) -> DataFrame:
+def _each_file(read: Callable[[bytes], dict], content: bytes | None) -> dict:
+    """What a file holds, or why it cannot be read (in words that name no path)."""
+    if content is None:
+        return {"error": {"code": InputError.code, "message": "Primary PDF artifact is missing."}}
+    try:
+        return read(content)
+    except Exception as wrong:  # noqa: BLE001  parsers raise whatever they meet
+        return {"error": {"code": AdapterExecutionError.code, "message": f"The PDF cannot be read ({type(wrong).__name__})."}}
+
+
+def read_pages(sources: DataFrame, read: Callable[[bytes], dict] | None = None) -> DataFrame:
     """One row a file: arrays of lines, geometry, words, shapes, annotations and
-    pages, the structure tree as JSON, and observed metadata."""
-    need_libraries()
-    # on the driver: what the tasks need is shipped by value
+    pages, the structure tree as JSON, observed metadata, and an error.
+
+    ``read`` makes them of a file's bytes; without one the libraries are used.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    from prosegauge.sources.pdf_files import read_file
+    if read is None:
+        need_libraries()
+        # on the driver: what the tasks need is shipped by value
+        from prosegauge.sources.pdf_files import read_file as read
+
+    schema = StructType.fromDDL("doc_id bigint, " + ", ".join(f"{n} {t}" for n, t in _PAGE_TABLES.items()))
+    arrow_schema = to_arrow_schema(schema)
+    empty = {n: [] for n, t in _PAGE_TABLES.items() if t.startswith("array")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"doc_id": d} | read_file(c) for d, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow_schema)
+            for doc, content in zip(*(batch.column(k) for k in (0, 1))):
+                row = {"doc_id": doc.as_py()} | empty | _each_file(read, content.as_py())
+                yield pa.RecordBatch.from_pylist([row], schema=arrow_schema)
 
-    schema = StructType.fromDDL("doc_id bigint, " + ", ".join(f"{n} {t}" for n, t in _PAGE_TABLES.items()))
-    arrow_schema = to_arrow_schema(schema)
-    return sources.select("doc_id", "content").mapInArrow(run, schema)
+    return cut(sources.select("doc_id", "content").mapInArrow(run, schema))
 
 
 def page_table(files: DataFrame, name: str) -> DataFrame:
