@@ -1,5 +1,6 @@
 """Profiles, registry, contracts, sinks, command line, streaming and small hard cases."""
 
+import datetime
 import io
 import json
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from prosegauge import cli, fixed
 from prosegauge.errors import AdapterContractError, AdapterNotFoundError, InputError, ProfileError
 from prosegauge.operators import measure, selection
-from prosegauge.plans import contracts
+from prosegauge.plans import contracts, result_schema
 from prosegauge.plans.analyze import analysis_results, analyze, measure_documents, metric_rows, plain_documents
 from prosegauge.plans.registry import ADAPTERS, HTML, Adapter, AdapterRegistry, choose_adapter, configuration_sha256, list_adapters
 from prosegauge.sources import files, sinks
@@ -75,7 +76,7 @@ def test_sources(tmp_path, spark):
     stream.read(2)
     got = [files.SourceBundle.from_html(s).primary.read() for s in (path, str(path), bytearray(b"y"), memoryview(b"z"), stream, Stream(b"tail"))]
     assert got == [b"<p>x</p>", b"<p>x</p>", b"y", b"z", b"abc", b"tail"] and stream.tell() == 2
-    for wrong, text in ((tmp_path / "none", "HTML not found"), (io.StringIO("t"), "must return bytes"), (5, "must be a path")):
+    for wrong, text in ((tmp_path / "none", "no such file"), (io.StringIO("t"), "not of bytes"), (5, "no path, bytes or stream")):
         with pytest.raises(InputError, match=text):
             files.SourceBundle.from_html(wrong).primary.read()
     with pytest.raises(ValueError):
@@ -229,3 +230,68 @@ def test_streams(spark, tmp_path):
     assert sorted(r["passive_sentence_count"] for r in spark.table("stream_docs").collect()) == [1] * 6
     readability.run_to_end(readability.running_totals(stream, "lang"), "stream_langs", str(tmp_path / "c2"), "complete")
     assert {r["lang"]: (r["documents"], r["passive_sentence_percentage"]) for r in spark.table("stream_langs").collect()} == {"en": (3, 100.0), "de": (3, 100.0)}
+
+
+def test_schemas(spark):
+    sources = files.bundle_frame(spark, [files.SourceBundle.from_html(b"<p>Forms are reviewed. It ends.</p>")])
+    plain = analyze(sources, "semantic-html@0.6.0")
+    result_schema.check_results(plain, "1.1.0")
+    assert contracts.result_violations(plain).collect() == []
+    word = analyze(sources, "word-html@0.1.0", config={"word_boundaries": {}})
+    result_schema.check_results(word, "1.3.0")
+    with pytest.raises(AdapterContractError, match="excluded_word_content is unknown"):
+        result_schema.check_results(word, "1.1.0")
+    with pytest.raises(AdapterContractError, match="metrics.word_count.value is string"):
+        metrics = F.col("metrics").withField("word_count", F.col("metrics.word_count").withField("value", F.lit("x")))
+        result_schema.check_results(plain.withColumn("metrics", metrics), "1.1.0")
+    for p in all_profiles().values():
+        read = spark.createDataFrame([(p.document.decode(),)], "d string").select(F.from_json("d", result_schema.profile_schema()).alias("d")).first()["d"].asDict(True)
+        said = json.loads(p.document)
+        assert {k: read[k] for k in said if k not in ("methods", "metrics")} == {k: v for k, v in said.items() if k not in ("methods", "metrics")}
+        assert read["metrics"] == said["metrics"] and {s: {k: v for k, v in m.items() if v is not None} for s, m in read["methods"].items()} == said["methods"]
+
+
+def test_results_that_contradict_themselves(spark):
+    sources = files.bundle_frame(spark, [files.SourceBundle.from_html(b"<p>Forms are reviewed. It ends.</p>")])
+    good = analyze(sources, "semantic-html@0.6.0")
+    for column, change, fault in (
+        ("coverage", lambda c: c.withField("unknown_role_count", F.lit(1).cast("bigint")), "unknown_role_count must be"),
+        ("coverage", lambda c: c.withField("segments_total", F.lit(-1).cast("bigint")), "negative"),
+        ("profile", lambda c: c.withField("sha256", F.lit("x")), "SHA-256"),
+        ("source", lambda c: c.withField("byte_length", F.lit(7).cast("bigint")), "primary artifact"),
+        ("adapter", lambda c: c.withField("capabilities_used", F.array(F.lit("pdf_structure"))), "declared"),
+        ("warnings", lambda c: F.transform(c, lambda w: w.withField("message", F.lit(" "))), "complete"),
+        ("selection", lambda c: c.withField("word_count", c["word_count"].withField("included_segment_count", F.lit(5).cast("bigint"))), "all segments"),
+    ):
+        found = [r["violation"] for r in contracts.result_violations(good.withColumn(column, change(F.col(column)))).collect()]
+        assert any(fault in f for f in found), (fault, found)
+
+
+def test_what_adapters_took(spark):
+    sources = files.bundle_frame(spark, [files.SourceBundle.from_html(b"<p>x y.</p>")])
+
+    def changed(**columns):
+        return Adapter("own", "1.0.0", ("html",), ("text",), HTML.support, lambda s, config: HTML.extract(s, config).withColumns(columns))
+
+    for columns, text in (
+        ({"artifacts_consumed": F.array(F.lit("other"))}, "include the primary"),
+        ({"artifacts_consumed": F.array(F.lit("primary"), F.lit("other"))}, "those of the source"),
+        ({"capabilities_used": F.array(F.lit("pdf_structure"))}, "declared"),
+        ({"sha256": F.lit("0" * 64)}, "identity of the source"),
+    ):
+        with pytest.raises(AdapterContractError, match=text):
+            contracts.conformance(changed(**columns), sources)
+    fine = changed(artifacts_consumed=F.array(F.lit("primary")), capabilities_used=F.array(F.lit("text")))
+    assert contracts.conformance(fine, sources)["conformant"]
+
+
+def test_times_are_universal(spark):
+    sources = files.bundle_frame(spark, [files.SourceBundle.from_html(b"<p>x y.</p>")])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        said = analyze(sources, "semantic-html@0.6.0").first()["generated_at"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    apart = datetime.datetime.now(datetime.UTC) - datetime.datetime.fromisoformat(said)
+    assert said.endswith("Z") and abs(apart.total_seconds()) < 120

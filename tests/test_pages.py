@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 from prosegauge import fixed
 from prosegauge.operators import pages, reflow, tagged
 from prosegauge.operators.reliability import reliability
-from prosegauge.plans import contracts
-from prosegauge.plans.analyze import analysis_results, measure_documents
+from prosegauge.plans import contracts, registry
+from prosegauge.plans.analyze import analysis_results, analyze, measure_documents
+from prosegauge.plans.result_schema import check_results
 from prosegauge.plans.registry import FLAT_PDF, TAGGED_PDF, flat_documents, tagged_documents
 from prosegauge.schema import PDF_ANNOTS, PDF_LINES, PDF_PAGES, PDF_SHAPES, PDF_TAGS, PDF_WORDS
+from prosegauge.sources import pdf
 from prosegauge.sources.files import SourceBundle, bundle_frame
 from prosegauge.sources.pdf import align_geometry, aligned
 from prosegauge.sources.profiles import load_profile
@@ -283,6 +285,7 @@ def test_tagged_estimate(spark):
     profile = load_profile("pdf-estimate@0.7.0")
     result = analysis_results(measure_documents(docs, profile, estimate="tagged_pdf"), profile, adapter=TAGGED_PDF, estimate="tagged_pdf")
     assert contracts.result_violations(result).collect() == []
+    check_results(result, "1.2.0")
     r = result.first().asDict(True)
     assert r["metrics"]["word_count"]["value"] == 11 and r["metrics"]["word_count"]["reliability"]["sensitivity"]["excluded_unknown_value"] == 8
     assert r["metrics"]["passive_sentence_percentage"]["value"] == 50.0 and r["metrics"]["words_per_sentence"]["value"] == 4.0
@@ -299,3 +302,52 @@ def test_strict_profiles_refuse_unknown_roles(spark):
     r = analysis_results(measure_documents(docs, profile), profile).first()
     assert {m: r["metrics"][m]["reason"] for m in fixed.METRICS} == dict.fromkeys(fixed.METRICS, fixed.UNKNOWN_ROLE_REASON)
     assert random.choice(fixed.METRICS) and r["metrics"]["word_count"]["status"] == "unable_to_calculate"
+
+
+# ---- files ---------------------------------------------------------------------
+
+
+def test_a_broken_file_ends_nothing(spark, monkeypatch):
+    """Broken, missing and refused files have an error each; the others are read, once."""
+    read = spark.sparkContext.accumulator(0)
+
+    def stub(content):
+        read.add(1)
+        if b"broken" in content:
+            raise RuntimeError("/secret/path")
+        lines = content.decode().split("\n")[1:]
+        box = {"left": 72.0, "right": 500.0}
+        return {
+            "lines": [{"page": 1, "line_index": k, "text": t} for k, t in enumerate(lines)],
+            "geometry": [{"page": 1, "k": k, "text": t, "bbox": box | {"top": 72.0 + 14 * k, "bottom": 84.0 + 14 * k}} for k, t in enumerate(lines)],
+            "words": [{"page": 1, "native_index": k, "text": t, "left": 50.0 + 40 * k, "top": 100.0, "right": 80.0 + 40 * k, "bottom": 110.0, "mcid": 1} for k, t in enumerate(lines[0].split())],
+            "pages": [{"page": 1, "width": 600.0, "height": 800.0, "extraction_failed": False}],
+            "tree": json.dumps({"S": "P", "Pg": 1, "K": 1}),
+            "metadata": [("Producer", "stub")],
+        }
+
+    contents = [b"%PDF-1.7\nForms are reviewed.", b"%PDF- broken", b"no header", b"%PDF-1.4\nMore text here. It goes on."]
+    sources = bundle_frame(spark, [SourceBundle.from_pdf(c) for c in contents])
+    gone = sources.where("doc_id = 0").withColumns({"doc_id": F.lit(9).cast("long"), "content": F.lit(None).cast("binary")})
+    unnamed = sources.where("doc_id = 0").withColumns({"doc_id": F.lit(8).cast("long"), "revision": F.lit(" ")})
+    monkeypatch.setattr(pdf, "need_libraries", lambda: None)
+    monkeypatch.setattr(registry.pdf, "read_pages", lambda files: pdf_read(files, stub))
+    for profile in ("generic-pdf-estimate@0.6.0", "pdf-estimate@0.7.0"):
+        read.value = 0
+        rows = {r["doc_id"]: r for r in analyze(sources.unionByName(gone).unionByName(unnamed), profile).collect()}
+        assert {k: r["error"] and r["error"]["code"] for k, r in rows.items()} == {
+            0: None, 1: "adapter_execution_error", 2: "adapter_contract_error", 3: None, 8: "input_error", 9: "adapter_contract_error",
+        }
+        assert read.value == 3 and "secret" not in str(rows) and "header" in rows[2]["error"]["message"] and "revision" in rows[8]["error"]["message"]
+        assert rows[0]["coverage"]["segments_total"] == 1 and rows[0]["source"]["observed_pdf_metadata"] == {"Producer": "stub"}
+        assert rows[0]["metrics"]["word_count"]["value"] == (3.0 if profile.startswith("pdf") else 0.0)  # a flat page begins with a cover
+    assert pdf_read(gone, stub).first()["error"]["code"] == "input_error"
+
+
+pdf_read = pdf.read_pages
+
+
+def test_pdf_header(spark):
+    rows = [(0, b"junk %PDF-1.4"), (1, b"\x02\x55\x04\x44\x62\xd0"), (2, b""), (3, None), (4, b"x" * 1030 + b"%PDF-")]
+    got = spark.createDataFrame(rows, "id int, content binary").select("id", pdf.has_pdf_header(F.col("content")).alias("has")).collect()
+    assert {r["id"]: bool(r["has"]) for r in got} == {0: True, 1: False, 2: False, 3: False, 4: False}
