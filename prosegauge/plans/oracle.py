@@ -275,8 +275,10 @@ def _edge_key(t: str) -> str:
 
 def source_lines() -> str:
     """CTE ``pl``: lines of documents as pages of their source (doc_id, page,
-    line_index from 0, text, line_count)."""
-    return f"""{lines()},
+    line_index from 0, text, line_count), with a head and a foot on every other."""
+    return f"""bound AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'Report ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || 'Page ' || doc_id || ' of 9' ELSE text END AS text
+  FROM documents),
+{lines("bound")},
 clean AS (SELECT coalesce(source, 'none') AS doc_id, b.doc_id AS page, block, trim(regexp_replace(t, {q(f'[{fixed.WS}]+')}, ' ', 'g'), {WS}) AS text
   FROM blocks b JOIN documents d ON b.doc_id = d.doc_id),
 pl AS (SELECT doc_id, page, text, (row_number() OVER (PARTITION BY doc_id, page ORDER BY block) - 1)::INTEGER AS line_index,
