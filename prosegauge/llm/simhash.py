@@ -18,18 +18,8 @@ fingerprints of a bucket beyond ``block`` are dealt to several tasks, against
 each of which all members of the bucket are verified in chunks, so a task holds
 ``block`` fingerprints however large the bucket is, and no link is lost.
 
-``similar_documents`` links texts whose sets of word shingles have a Jaccard
-similarity of ``similarity`` or more, all of them, in two steps:
-
-1. SimHash joins most of each group cheaply.  Fingerprints have 128 bits in eight
-   segments, each text offers from every bucket its nearest candidate within 30
-   bits, and candidates are verified by their sets.
-2. An exact join of what is still in different components.  Shingles are in one
-   order, the frequent last, and two similar sets share one of the first
-   ``n - ceil(similarity * n) + 1`` of each.  Sets meet by these, pairs whose sizes
-   or places leave no room for the overlap are left out, and all others of
-   different components are verified by their sets, block against block.  The
-   order decides only how many pairs are verified.
+Links by similarity of whole sets of shingles, as the corpus pipeline needs them, are
+in ``similar``.
 
 Defined cases: a null or empty text, or one without words, has fingerprint 0 and
 links like any other; a text of fewer words than the shingle has one shingle of
@@ -39,8 +29,7 @@ id is never the representative; an empty table gives an empty table.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +37,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from prosegauge.llm.batches import parts
 from prosegauge.llm.components import components
-from prosegauge.llm.kept import kept
+from prosegauge.llm.joins import join_counted
 from prosegauge.runtime import cut
 
 CHUNK = 1 << 16
-CELLS = 1 << 21
+CELLS = 1 << 19
 
 
 def fingerprint(text: bytes, width: int) -> int:
@@ -79,7 +69,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """``doc_id`` and ``fp``, the fingerprint as a signed 64-bit number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, 1024):
             found = np.fromiter(
                 (fingerprint(t.as_py() or b"", width) for t in batch.column(1).cast(pa.binary())),
                 dtype=np.uint64,
@@ -139,14 +129,12 @@ def links(
     block: int = 4096,
     words: int = 1,
     forest: bool = True,
-    at_most: int | None = None,
 ) -> DataFrame:
     """Edges ``a``, ``b`` between ``rep`` of distinct fingerprints within ``radius``.
 
     Fingerprints have ``words`` columns ``fp0``, ``fp1``... of 64 bits.  For every
     bucket a spanning forest of its links (which is exact for a radius under
     ``2 * segments``), or else each one's nearest with a smaller id, and ``apart``.
-    ``at_most`` is a known bound of the number of nodes, if there is one.
     """
     size = 64 * words // segments
     if 64 % size or (forest and radius > 2 * segments - 1):
@@ -155,7 +143,7 @@ def links(
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096)):
+            for part in parts([batch], 4096):
                 values = [c.to_numpy(zero_copy_only=False) for c in part.columns]
                 for s in range(segments):
                     of, shift = divmod(s * size, 64)
@@ -176,17 +164,16 @@ def links(
         F.shiftrightunsigned(f"fp{s * size // 64}", s * size % 64).bitwiseAND(F.lit(mask)) * segments + s for s in range(segments)
     ]
     filed = nodes.select(F.explode(F.array(*keys)).alias("bucket"))
-    large = kept(
-        filed.groupBy("bucket").count().where(F.col("count") > block).select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks")),
-        rows=None if at_most is None else segments * at_most,
-        a_file=100_000,
+    large = cut(
+        filed.groupBy("bucket").count().where(F.col("count") > block).withColumn("blocks", F.ceil(F.col("count") / block).cast("int"))
     )
     of_print = ", ".join(f"{p} long" for p in prints)
     rows = nodes.select(*prints, "rep").mapInArrow(expand, f"bucket long, role byte, {of_print}, rep long")
     if large.isEmpty():
         rows = rows.withColumn("part", F.lit(0))
     else:
-        rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+        total = filed.count()
+        rows = join_counted(rows, large, ["bucket"], total=total, how="left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
         own = rows.where("role = 0").withColumn("part", F.pmod(F.xxhash64(*prints), F.col("blocks")).cast("int"))
         met = rows.where("role = 1 or blocks > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = own.unionByName(met.withColumn("role", F.lit(1).cast("byte"))).drop("blocks")
@@ -253,217 +240,9 @@ def near_duplicates(
     """``doc_id``, ``fingerprint`` (16 hex digits) and ``component_id`` (the
     smallest doc_id that links reach) of every row."""
     prints = cut(fingerprints(docs, id_col=id_col, text_col=text_col, width=width))
-    n = prints.count()
-    nodes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), rows=n)
-    edges = links(nodes.where("rep is not null").withColumnRenamed("fp", "fp0"), radius=radius, segments=segments, block=block, at_most=n)
+    nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("count")))
+    edges = links(nodes.where("rep is not null").select(F.col("fp").alias("fp0"), "rep"), radius=radius, segments=segments, block=block)
     found = components(edges)
-    named = nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
-
-
-def shingle_set(text: bytes, width: int) -> set[bytes]:
-    words = text.lower().split()
-    return {b" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
-
-
-def wide_fingerprint(shingles: set[bytes]) -> tuple[int, int]:
-    """128-bit SimHash of a set of shingles, as two signed numbers."""
-    if not shingles:
-        return 0, 0
-    counts, all_ = np.zeros(128, dtype=np.int64), list(shingles)
-    for k in range(0, len(all_), CHUNK):
-        hashes = b"".join([xxhash.xxh3_128_digest(x, 42) for x in all_[k : k + CHUNK]])
-        counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 16), axis=1).sum(axis=0, dtype=np.uint32)
-    return tuple(np.packbits(2 * counts > len(all_)).view(">i8").tolist())
-
-
-def frequent(own: DataFrame, width: int, at_least: int = 4, at_most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles (hashes, sorted) that some task finds in ``at_least`` texts, the most
-    frequent ``at_most`` of them, and their places in order of frequency."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-
-        def flush() -> pa.RecordBatch:
-            hashes, times = np.unique(np.frombuffer(b"".join(held), dtype=np.int64), return_counts=True)
-            often = times >= at_least
-            return pa.RecordBatch.from_arrays([pa.array(hashes[often]), pa.array(times[often])], names=["shingle", "times"])
-
-        for batch in batches:
-            for t in batch.column(1).cast(pa.binary()):
-                held += [xxhash.xxh3_128_digest(x, 42)[:8] for x in shingle_set(t.as_py() or b"", width)]
-                if len(held) >= CELLS:
-                    yield flush()
-                    held = []
-        if held:
-            yield flush()
-
-    every = own.mapInArrow(counted, "shingle long, times long").groupBy("shingle").agg(F.sum("times").alias("times"))
-    top = every.orderBy(F.desc("times"), "shingle").limit(at_most).toArrow()
-    shingle, times = (top.column(k).to_numpy() for k in (0, 1))
-    rank = np.empty(len(shingle), np.int64)
-    rank[np.lexsort((shingle, times))] = np.arange(1, len(shingle) + 1)
-    order = np.argsort(shingle)
-    return shingle[order], rank[order]
-
-
-def print_of(shingles: set[bytes], hot: np.ndarray, rank: np.ndarray, similarity: float) -> tuple:
-    """Wide fingerprint, a hash of the whole set, its size and its prefix."""
-    hashes = np.sort(np.frombuffer(b"".join(xxhash.xxh3_128_digest(x, 42)[:8] for x in shingles), dtype=np.int64))
-    n = len(hashes)
-    place = np.zeros(n, np.int64)
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, hashes), len(hot) - 1)
-        place = np.where(hot[at] == hashes, rank[at], 0)
-    first = n - math.ceil(similarity * n - 1e-6) + 1 if n else 0
-    prefix = hashes[np.argsort(place, kind="stable")[:first]]
-    return *wide_fingerprint(shingles), int(np.int64(xxhash.xxh3_64_intdigest(hashes.tobytes()) - (1 << 63))), n, prefix
-
-
-def prefix_pairs(sized: DataFrame, *, similarity: float, block: int) -> DataFrame:
-    """Distinct pairs ``a`` < ``b`` of ``rep`` in different components (``of``) that
-    share a shingle of both prefixes and may be similar by size and place."""
-    rows = sized.select("rep", "n", "of", F.posexplode("prefix").alias("place", "bucket"))
-    mixed = (
-        rows.groupBy("bucket")
-        .agg(F.min("of").alias("low"), F.max("of").alias("high"), F.count("*").alias("count"))
-        .where("low < high")
-        .select("bucket", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    )
-    rows = cut(rows.join(mixed, "bucket"))
-    # as in links: a large bucket is dealt to several tasks, all its members meet each part
-    own = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("role", F.lit(0).cast("byte"))
-    met = rows.where("blocks > 1").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1).cast("byte"))
-    share = similarity / (1 + similarity)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            bucket, part, role, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
-            if not len(bucket):
-                continue
-            cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1])) + 1
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]):
-                now = (bucket[i], part[i])
-                if now != last:
-                    last, held = now, [c[:0] for c in columns]
-                k = i + int(np.searchsorted(role[i:j], 1))
-                if k > i:
-                    held = [np.concatenate([h, c[i:k]]) for h, c in zip(held, columns)]
-                rep, n, of, place = (h[:, None] for h in held)
-                step = max(1, CELLS // max(1, len(rep)))
-                for p in range(i, j, step):
-                    rep_, n_, of_, place_ = (c[None, p : min(j, p + step)] for c in columns)
-                    room = np.minimum(n - place, n_ - place_)  # the overlap, if this is the first shingle shared
-                    x, y = np.nonzero((of != of_) & (room >= share * (n + n_) - 1e-6))
-                    if len(x):
-                        one, other = rep[x, 0], rep_[0, y]
-                        pairs = np.unique(np.stack([np.minimum(one, other), np.maximum(one, other)]), axis=1)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
-
-    dealt = own.unionByName(met).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "role")
-    return dealt.select("bucket", "part", "role", "rep", "n", "of", "place").mapInArrow(fold, "a long, b long").distinct()
-
-
-def in_blocks(pairs: DataFrame, sets_for: Callable[[DataFrame], DataFrame], similarity: float, block: int = 256) -> DataFrame:
-    """The ``pairs`` that are similar.  Texts are dealt to blocks, and a task has the
-    sets of two blocks for all pairs between them."""
-    ends = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    blocks = -(-ends.count() // block)
-    of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    keyed = pairs.withColumn("key", of("a") * blocks + of("b"))
-    needed = keyed.select(F.col("key").alias("of_pair"), F.explode(F.array("a", "b")).alias("id")).distinct().join(cut(sets_for(ends)), "id")
-
-    def verify(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        ids, lists = sets.column("id").to_numpy(), sets.column("shingles").combine_chunks()
-        flat, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy().astype(np.int64)
-        names, numbers = np.unique(flat, return_inverse=True)
-        begin = np.concatenate([[0], np.cumsum(size)])
-        order = np.argsort(ids)
-        a, b = (order[np.searchsorted(ids, pairs.column(c).to_numpy(), sorter=order)] for c in ("a", "b"))
-        by = np.argsort(a, kind="stable")
-        a, b = a[by], b[by]
-        good = np.zeros(len(a), bool)
-        marked = np.zeros(len(names), np.int64)
-        cuts = np.flatnonzero(np.diff(a)) + 1
-        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(a)]):
-            own = numbers[begin[a[i]] : begin[a[i] + 1]]
-            marked[own] = 1
-            common = np.array([marked[numbers[begin[y] : begin[y + 1]]].sum() for y in b[i:j].tolist()])
-            marked[own] = 0
-            good[i:j] = common >= similarity * (size[a[i]] + size[b[i:j]] - common) - 1e-9
-        return pa.table({"a": pa.array(ids[a[good]], pa.int64()), "b": pa.array(ids[b[good]], pa.int64())})
-
-    return keyed.groupBy("key").cogroup(needed.groupBy("of_pair")).applyInArrow(verify, "a long, b long")
-
-
-def similar_documents(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    width: int = 5,
-    similarity: float = 0.8,
-    radius: int = 30,
-    segments: int = 8,
-    block: int = 4096,
-) -> DataFrame:
-    """``doc_id`` and ``component_id``, the smallest doc_id that links reach, of
-    every row with an id; texts link at a Jaccard ``similarity`` of their sets of
-    ``width``-word shingles (texts without words link to each other)."""
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-
-    hot, rank = frequent(own, width)
-
-    def prints_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in (batch.slice(k, 1024) for k in range(0, batch.num_rows, 1024)):
-                found = [print_of(shingle_set(t.as_py() or b"", width), hot, rank, similarity) for t in part.column(1).cast(pa.binary())]
-                columns = [pa.array([x[k] for x in found], t) for k, t in enumerate([pa.int64()] * 3 + [pa.int32(), pa.list_(pa.int64())])]
-                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "fp0", "fp1", "of_set", "n", "prefix"])
-
-    prints = cut(own.mapInArrow(prints_of, "doc_id long, fp0 long, fp1 long, of_set long, n int, prefix array<long>"))
-    n = prints.count()
-    same = ["fp0", "fp1", "of_set"]
-    sized = kept(prints.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), rows=n)
-    nodes = sized.select("fp0", "fp1", "rep")
-    offered = links(nodes, radius=radius, segments=segments, block=block, words=2, forest=False, at_most=n)
-    candidates = cut(offered.groupBy("a", "b").agg(F.min("apart").alias("apart")))
-
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [
-                np.frombuffer(b"".join(xxhash.xxh3_64_digest(x) for x in shingle_set(t.as_py() or b"", width)), dtype=np.int64)
-                for t in batch.column(1).cast(pa.binary())
-            ]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
-
-    ends = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-
-    def sets_for(ids: DataFrame) -> DataFrame:
-        return own.join(ids, "doc_id", "left_semi").mapInArrow(sets_of, "id long, shingles array<long>").dropDuplicates(["id"])
-
-    sets = cut(sets_for(ends))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("shingles", "x"), "a").join(
-            sets.withColumnRenamed("id", "b").withColumnRenamed("shingles", "y"), "b"
-        )
-        common = F.size(F.array_intersect("x", "y"))
-        return both.where(common >= similarity * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
-
-    first = kept(verified(candidates.groupBy("a").agg(F.min_by("b", F.struct("apart", "b")).alias("b"))), rows=n)
-    joined = components(first, at_most=n)
-    a_side = joined.select(F.col("node").alias("a"), F.col("component").alias("of_a"))
-    b_side = joined.select(F.col("node").alias("b"), F.col("component").alias("of_b"))
-    apart = candidates.join(a_side, "a", "left").join(b_side, "b", "left").where(
-        F.coalesce("of_a", "a") != F.coalesce("of_b", "b")
-    )
-    found = components(first.unionByName(verified(apart.select("a", "b"))))
-    labelled = sized.join(found, sized["rep"] == found["node"], "left").select("rep", "n", "prefix", F.coalesce("component", "rep").alias("of"))
-    open_pairs = cut(prefix_pairs(labelled, similarity=similarity, block=block))
-    if not open_pairs.isEmpty():
-        late = in_blocks(open_pairs, sets_for, similarity)
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(late))
-    named = sized.join(found, sized["rep"] == found["node"], "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, same).select("doc_id", "component_id")
+    named = cut(nodes.join(found, nodes["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"), "count"))
+    every = join_counted(prints, named, ["fp"], total=prints.count())
+    return every.select("doc_id", fingerprint_hex().alias("fingerprint"), "component_id")
