@@ -1,10 +1,11 @@
 """Line dedup with a once-seen and a twice-seen Bloom filter.
 
-1. Every partition puts the hashes of its line keys (one per document and key)
-   into two Bloom filters; merged, the second holds each key that may occur in
-   two documents.
+1. Hashes of line keys (one per document and key, combined in every task) are dealt by
+   value; each task has a once-seen Bloom filter of its own, and hashes that it
+   holds already make the twice-seen filter, which is broadcast (see ``sketch``).
 2. Only keys that the second filter holds leave their task.  They are grouped
-   exactly by a 128-bit digest: number of documents, and first occurrence.
+   exactly by a 128-bit digest: number of documents, and first occurrence.  With
+   more suspects than a filter may have, keys are joined with them instead.
 3. Keys found in at least ``min_docs`` documents are dropped from the texts.
    Their digests are broadcast while there are at most ``broadcast_keys`` of
    them; beyond that each document receives its own digests by a join.
@@ -21,6 +22,7 @@ input are carried through unless they bear a name of the result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from prosegauge.llm import sketch
+from prosegauge.llm.batches import parts
+from prosegauge.llm.joins import join_counted
 from prosegauge.runtime import cut
 
 STRIPPED = b" \t\n\x0b\x0c\r"
@@ -54,10 +58,9 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
         yield text.as_py() or b""
 
 
-def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int) -> DataFrame:
-    """digest, first_id, first_line of each key found in ``min_docs`` documents."""
+def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_docs: int, min_chars: int, most: int = sketch.MOST) -> DataFrame:
+    """digest, first_id, first_line and number ``n`` of each key found in ``min_docs`` documents."""
     lines = docs.agg(F.sum(F.length(text_col) - F.length(F.translate(text_col, "\n", "")) + 1).alias("n")).first()["n"]
-    cells, rows = sketch.cells_for(lines or 0), 2
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def keys(text: bytes) -> dict[bytes, int]:
@@ -70,45 +73,47 @@ def repeated_keys(docs: DataFrame, id_col: str, text_col: str, min_docs: int, mi
         return found
 
     def hashes(found: dict[bytes, int]) -> np.ndarray:
-        return np.frombuffer(b"".join(found), dtype=">u8")[::2].astype(np.uint64)
+        return np.frombuffer(b"".join(found), dtype=np.uint64)[::2]
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = None
-        for batch in batches:
-            built = built or sketch.Builder(cells, rows)
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sketch.Gathered()
+        for batch in parts(batches):
             for text in _texts(batch.column(0)):
                 if found := keys(text):
-                    built.add(hashes(found))
-        if built:
-            yield from built.segments()
+                    yield from held.add(hashes(found))
+        yield from held.flush()
 
-    planes = docs.sparkSession.sparkContext.broadcast(
-        sketch.merged(texts.select("text").mapInArrow(build, sketch.SKETCH_SCHEMA), cells, rows)
-    )
+    suspects = sketch.suspects(texts.select("text").mapInArrow(gathered, sketch.HASHES), int(lines or 0), rows=2)
+    twice = sketch.Filter.of(suspects, most)
+    shared = docs.sparkSession.sparkContext.broadcast((twice.bits, twice.cells) if twice else None)
 
-    def suspects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = shared.value and sketch.Filter(*shared.value)
+        for batch in parts(batches):
             ids, digests, firsts = [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
                 if found := keys(text):
-                    for held, (d, k) in zip(sketch.seen_twice(planes.value, hashes(found)), found.items()):
+                    for held, (d, k) in zip(twice.holds(hashes(found)) if twice else repeat(True), found.items()):
                         if held:
                             ids.append(doc)
                             digests.append(d)
                             firsts.append(k)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(digests, pa.binary()), pa.array(ids, batch.schema.field(0).type), pa.array(firsts, pa.int32())],
-                names=["digest", "doc_id", "line"],
-            )
+                [pa.array(digests, pa.binary()), pa.array(ids, batch.schema.field(0).type), pa.array(firsts, pa.int32()),
+                 pa.array(np.frombuffer(b"".join(digests), dtype=np.int64)[::2])],
+                names=["digest", "doc_id", "line", "hash"],
+            )
 
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    seen = texts.mapInArrow(suspects, f"digest binary, doc_id {id_type}, line int")
+    seen = texts.mapInArrow(occurrences, f"digest binary, doc_id {id_type}, line int, hash long")
+    if twice is None:
+        seen = join_counted(seen, suspects, ["hash"], total=int(lines))
     per_doc = seen.groupBy("digest", "doc_id").agg(F.min("line").alias("line"))
     return (
         per_doc.groupBy("digest")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "line")).alias("first"))
         .where(F.col("n") >= min_docs)
-        .select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.line").alias("first_line"))
+        .select("digest", "n", F.col("first.doc_id").alias("first_id"), F.col("first.line").alias("first_line"))
     )
 
 
@@ -121,15 +126,17 @@ def dedup_lines(
     min_chars: int = 1,
     keep_first: bool = False,
     broadcast_keys: int = 500_000,
+    most_suspects: int = sketch.MOST,
 ) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and ``kept_text``.
 
     ``keep_first`` leaves the first occurrence (smallest id, then line) of a
-    dropped key in place.  ``broadcast_keys`` bounds what is broadcast: 16
-    bytes of digest and the first occurrence for each key.
+    dropped key in place.  ``broadcast_keys`` and ``most_suspects`` bound what is
+    broadcast: 16 bytes of digest and the first occurrence for each key, a byte of
+    filter for each suspect.
     """
     kept_cols = [c for c in docs.columns if c not in RESULT]
-    repeated = cut(repeated_keys(docs, id_col, text_col, min_docs, min_chars))
+    repeated = cut(repeated_keys(docs, id_col, text_col, min_docs, min_chars, most_suspects))
     id_at, text_at = kept_cols.index(id_col), kept_cols.index(text_col)
     n = repeated.count()
     spark = docs.sparkSession
@@ -161,33 +168,34 @@ def dedup_lines(
     for name, kind in zip(RESULT, (LongType(), LongType(), StringType())):
         out_schema = out_schema.add(name, kind)
     if n <= broadcast_keys:
-        table = {bytes(r["digest"]): (r["first_id"], r["first_line"]) for r in repeated.toLocalIterator()}
+        table = {bytes(r["digest"]): (r["first_id"], r["first_line"]) for r in repeated.collect()}
         shared = spark.sparkContext.broadcast(table)
 
         def by_broadcast(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches):
                 yield apply(batch, lambda k: shared.value)
 
         return source.mapInArrow(by_broadcast, out_schema)
 
+    # a row is known by hashes of its id and text: rows that repeat an id, or have none, stay apart
+    row = lambda: F.xxhash64(id_col, text_col)
+
     def own_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, digests = [], []
-            for doc, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
+        for batch in parts(batches):
+            rows, digests = [], []
+            for of, text in zip(batch.column(0).to_pylist(), _texts(batch.column(1))):
                 own = {digest(key) for line in text.split(b"\n") if (key := line_key(line)) and code_points(key) >= min_chars}
-                ids += [doc] * len(own)
+                rows += [of] * len(own)
                 digests += own
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, batch.schema.field(0).type), pa.array(digests, pa.binary())], names=["own_id", "digest"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(digests, pa.binary())], names=["row", "digest"])
 
-    id_type = docs.schema[id_col].dataType.simpleString()
-    own = source.select(id_col, text_col).mapInArrow(own_keys, f"own_id {id_type}, digest binary").distinct()
-    hits = own.join(repeated, "digest").groupBy("own_id").agg(F.collect_list(F.struct("digest", "first_id", "first_line")).alias("hits"))
-    joined = source.join(hits, F.col(id_col).eqNullSafe(F.col("own_id")), "left").select(*[source[c] for c in kept_cols], "hits")
+    own = source.select(row().alias("row"), text_col).mapInArrow(own_keys, "row long, digest binary").distinct()
+    hits = join_counted(own, repeated.withColumnRenamed("n", "count"), ["digest"], total=source.count())
+    hits = hits.groupBy("row").agg(F.collect_list(F.struct("digest", "first_id", "first_line")).alias("hits"))
+    joined = source.withColumn("_row", row()).join(hits, F.col("_row") == F.col("row"), "left").select(*[source[c] for c in kept_cols], "hits")
 
     def by_join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             hit = batch.column(len(kept_cols)).to_pylist()
             yield apply(batch, lambda k: {h["digest"]: (h["first_id"], h["first_line"]) for h in hit[k] or ()})
 

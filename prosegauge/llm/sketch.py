@@ -1,16 +1,15 @@
-"""Saturating two-plane sketch shared by line and substring dedup.
-
-``once`` marks cells hit by at least one key, ``twice`` cells hit by at least
-two.  With ``rows`` independent cells per key this is a pair of Bloom filters
-(once seen / twice seen) and, read as counters that stop at 2, a count-min
-sketch.  Partition sketches merge in any order:
-
-    twice = twice_a | twice_b | (once_a & once_b);  once = once_a | once_b
-
-so a key that occurs twice anywhere always reads as "twice": estimates are
-never too low.  Sizes are powers of two chosen by ``cells_for`` and capped, so
-what is broadcast has a fixed upper bound; above the cap more keys merely look
-repeated and are settled by the exact pass.
+"""Which hashes may occur more than once, found with sketches of bounded size.
+
+``suspects`` deals hashes by value to as many tasks as their number needs, so that the
+share of hashes that look repeated does not grow with the data.  Every task has a
+sketch of its own hashes: ``rows`` independent cells a hash.  A hash all of whose
+cells are taken when it comes may have come before.  With counters that stop at
+two this is a count-min sketch, read as bits the once-seen Bloom filter; it
+never misses a repeated hash.
+
+``Filter`` is the twice-seen Bloom filter of what was suspected, sized by its number and
+small enough to be broadcast; with more than ``MOST`` suspects there is none, and
+callers join the suspects instead.
 """
 
 from __future__ import annotations
@@ -19,126 +18,139 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-SEGMENT_BYTES = 1 << 18
-MAX_CELLS = 1 << 27
-SKETCH_SCHEMA = "segment int, plane_once binary, plane_twice binary"
-
+from prosegauge.runtime import cut
 
-def cells_for(keys: int, at_least: int = 1 << 16, at_most: int = MAX_CELLS) -> int:
-    """Power of two of at least three cells for each key, within the bounds."""
-    want = max(1, 3 * int(keys))
-    return int(min(at_most, max(at_least, 1 << (want - 1).bit_length())))
+#: Hashes a task of ``suspects`` may have, and cells for each at least.
+A_TASK, CELLS_A_HASH = 1 << 22, 8
+#: Suspects that a filter may have (a byte each in it).
+MOST = 1 << 25
+HELD = 1 << 19
+FILTER_ROWS, SEGMENT_BITS = 4, 6
+HASHES = "hash long, times long"
 
 
-def cell_numbers(keys: np.ndarray, row: int, cells: int) -> np.ndarray:
-    """Cell of each uint64 key in one row, as uint32."""
+def cell_numbers(hashes: np.ndarray, row: int, cells: int) -> np.ndarray:
+    """Cell of each uint64 hash in one row; ``cells`` is a power of two."""
     odd = np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)[row])
-    mixed = (keys ^ (keys >> np.uint64(29))) * odd
-    return (mixed >> np.uint64(64 - (cells.bit_length() - 1))).astype(np.uint32)
+    mixed = (hashes ^ (hashes >> np.uint64(29))) * odd
+    return mixed >> np.uint64(64 - (cells.bit_length() - 1))
 
 
-class Builder:
-    """Sketch of one partition, two bits for each cell and row."""
+def _segment(hashes: np.ndarray) -> np.ndarray:
+    """Low bits: hashes that were chosen for being small differ little in the high ones."""
+    return (hashes & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
 
-    HELD = 1 << 19
+
+def _power(n: float) -> int:
+    return 1 << max(10, (max(1, int(n)) - 1).bit_length())
+
+
+class Once:
+    """Cells that have been hit by the hashes of one task."""
 
     def __init__(self, cells: int, rows: int):
-        self.cells, self.rows = cells, rows
-        self.once = np.zeros((rows, cells // 8), dtype=np.uint8)
-        self.twice = np.zeros((rows, cells // 8), dtype=np.uint8)
+        self.cells = cells
+        self.bits = np.zeros((rows, cells // 8), dtype=np.uint8)
+
+    def add(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of distinct hashes may have been added before."""
+        before = np.ones(len(hashes), dtype=bool)
+        for row, bits in enumerate(self.bits):
+            at = cell_numbers(hashes, row, self.cells)
+            byte, bit = at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8)
+            before &= (bits[byte] & bit) != 0
+            np.bitwise_or.at(bits, byte, bit)
+        return before
+
+
+class Gathered:
+    """Distinct hashes of a task's rows, a bounded run at a time, with their times."""
+
+    def __init__(self) -> None:
         self.held: list[np.ndarray] = []
-        self.n_held = 0
-
-    def add(self, keys: np.ndarray) -> None:
-        self.held.append(keys)
-        self.n_held += len(keys)
-        if self.n_held >= self.HELD:
-            self.flush()
-
-    def flush(self) -> None:
-        if not self.n_held:
-            return
-        keys = np.concatenate(self.held)
-        self.held, self.n_held = [], 0
-        for row in range(self.rows):
-            at = np.sort(cell_numbers(keys, row, self.cells))
-            new = np.concatenate([[True], at[1:] != at[:-1]])
-            byte, bits = _bits(at[new])
-            old = self.once[row][byte]
-            self.twice[row][byte] |= old & bits
-            self.once[row][byte] = old | bits
-            byte, bits = _bits(at[~new])
-            self.twice[row][byte] |= bits
-
-    def segments(self) -> Iterator[pa.RecordBatch]:
-        """Compressed pieces; pieces without a hit are left out."""
-        self.flush()
-        pack = zstandard.ZstdCompressor(level=1).compress
-        step = min(SEGMENT_BYTES, self.cells // 8)
-        for row in range(self.rows):
-            for k in range(self.cells // 8 // step):
-                once = self.once[row, k * step : (k + 1) * step]
-                if once.any():
-                    twice = self.twice[row, k * step : (k + 1) * step]
-                    yield pa.RecordBatch.from_pydict(
-                        {
-                            "segment": pa.array([row * (self.cells // 8 // step) + k], pa.int32()),
-                            "plane_once": [pack(once.tobytes())],
-                            "plane_twice": [pack(twice.tobytes())],
-                        }
-                    )
-
-
-def _bits(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of sorted cell numbers, each once, and their bits there."""
-    byte = at >> np.uint32(3)
-    if not len(at):
-        return byte, np.empty(0, np.uint8)
-    begins = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
-    bits = np.uint8(128) >> (at & np.uint32(7)).astype(np.uint8)
-    return byte[begins], np.bitwise_or.reduceat(bits, begins)
-
-
-def merged(partials: DataFrame, cells: int, rows: int) -> np.ndarray:
-    """The packed ``twice`` planes of all partitions, ``rows`` x ``cells / 8``.
-
-    Segments are merged on the executors; the driver receives each segment
-    once, that is ``rows * cells / 8`` bytes at most.
+        self.size = 0
+
+    def add(self, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.held.append(hashes)
+        self.size += len(hashes)
+        if self.size >= HELD:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.size:
+            hashes, times = np.unique(np.concatenate(self.held), return_counts=True)
+            self.held, self.size = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(times)], names=["hash", "times"])
+
+
+def suspects(hashes: DataFrame, expected: int, rows: int, cells: int | None = None) -> DataFrame:
+    """``hash`` and ``count`` of every hash that may occur twice.
+
+    ``hashes`` are batches of ``Gathered``; ``expected`` is about their number.  Counts
+    leave out each hash's first batch, so they tell hot hashes from others.
     """
-    step = min(SEGMENT_BYTES * 8, cells)  # cells of a segment
-    pieces = rows * (cells // step)
+    tasks = max(int(hashes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-expected // A_TASK))
+    size = cells or _power(CELLS_A_HASH * expected / tasks)
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        state: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once = Once(size, rows)
         for batch in batches:
-            for segment, once_z, twice_z in zip(*(c.to_pylist() for c in batch.columns)):
-                once, twice = (np.frombuffer(unpack(z), dtype=np.uint8) for z in (once_z, twice_z))
-                if segment in state:
-                    old_once, old_twice = state[segment]
-                    state[segment] = old_once | once, old_twice | twice | (old_once & once)
-                else:
-                    state[segment] = once, twice
-        pack = zstandard.ZstdCompressor(level=1).compress
-        for segment, (_, twice) in state.items():
-            yield pa.RecordBatch.from_pydict({"segment": pa.array([segment], pa.int32()), "twice": [pack(twice.tobytes())]})
-
-    spread = partials.repartition(max(1, min(pieces, 64)), "segment")
-    planes = np.zeros((pieces, step // 8), dtype=np.uint8)
-    unpack = zstandard.ZstdDecompressor().decompress
-    for row in spread.mapInArrow(merge, "segment int, twice binary").toLocalIterator():
-        planes[row["segment"]] = np.frombuffer(unpack(bytes(row["twice"])), dtype=np.uint8)
-    return planes.reshape(rows, cells // 8)
-
-
-def seen_twice(planes: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """For each key, whether it may occur twice (never False for one that does)."""
-    rows, width = planes.shape
-    out = np.ones(len(keys), dtype=bool)
-    for row in range(rows):
-        at = cell_numbers(keys, row, width * 8)
-        out &= (planes[row][at >> np.uint32(3)] >> (np.uint32(7) - (at & np.uint32(7)))) & 1 == 1
-    return out
+            found, at = np.unique(batch.column(0).to_numpy().view(np.uint64), return_inverse=True)
+            times = np.bincount(at, weights=batch.column(1).to_numpy()).astype(np.int64)
+            held = once.add(found) | (times > 1)
+            yield pa.RecordBatch.from_arrays([pa.array(found[held].view(np.int64)), pa.array(times[held])], names=["hash", "times"])
+
+    seen = hashes.repartition(tasks, "hash").mapInArrow(fold, HASHES)
+    return cut(seen.groupBy("hash").agg(F.sum("times").alias("count")))
+
+
+class Filter:
+    """Bloom filter of the hashes of a table, of a byte a hash and more."""
+
+    def __init__(self, bits: np.ndarray, cells: int):
+        self.bits, self.cells = bits, cells
+
+    @classmethod
+    def of(cls, found: DataFrame, most: int = MOST) -> Filter | None:
+        """The filter of ``hash``, or None if there are more than ``most``.
+
+        It is built in segments on the executors; the driver receives its bytes only.
+        """
+        n = found.count()
+        if n > most:
+            return None
+        segments = 1 << SEGMENT_BITS
+        cells = _power(8 * n / segments)
+
+        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            made: dict[int, np.ndarray] = {}
+            for batch in batches:
+                x = batch.column(0).to_numpy().view(np.uint64)
+                of = _segment(x)
+                for k in np.unique(of).tolist():
+                    part = made.setdefault(k, np.zeros(cells // 8, dtype=np.uint8))
+                    for row in range(FILTER_ROWS):
+                        at = cell_numbers(x[of == k], row, cells)
+                        np.bitwise_or.at(part, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            for k, part in made.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["segment", "bits"])
+
+        segment = F.col("hash").bitwiseAND(F.lit(segments - 1))
+        bits = np.zeros((segments, cells // 8), dtype=np.uint8)
+        if n:
+            tasks = min(segments, int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            for r in found.select("hash").repartition(tasks, segment).mapInArrow(build, "segment int, bits binary").collect():
+                bits[r["segment"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+        return cls(bits, cells)
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        """For each uint64 hash whether it may be one (never False for one that is)."""
+        out = np.ones(len(hashes), dtype=bool)
+        of = _segment(hashes)
+        for row in range(FILTER_ROWS):
+            at = cell_numbers(hashes, row, self.cells)
+            out &= (self.bits[of, (at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return out
