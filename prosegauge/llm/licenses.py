@@ -1,21 +1,21 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance by path.
 
-1. A file's candidate passages are its lines, its pairs and triples of
-   neighbouring lines, and, wherever lines break, its runs of as many words as each
-   template has, less words at their ends that no template has (which only lower
-   the cosine), over the whole text.  Each is a bag of words and word pairs weighted by TF-IDF over the
-   templates; the cosine to every template is a sparse product over the terms
-   they share.  A passage of more than twice the longest template's terms is no
-   notice.  Passages that hold no term without which the threshold is out of reach
-   are not looked at.
+1. A file's candidate passages are its lines, its pairs and triples of neighbouring
+   lines, and, wherever lines break, runs of as many words as a template has, over
+   the whole text: around every word that counts for a notice, and for templates of
+   ``LONG`` words or more in steps of a tenth of their length, word by word around the
+   best.  Words at the ends of a run that no template has are left out (they only
+   lower the cosine).  A passage is a bag of words and word pairs weighted by TF-IDF
+   over the templates; the cosine to every template is a sparse product over the
+   terms they share.  Templates without a word that the threshold takes, or whose
+   terms in the text cannot reach it, are not looked for.
 2. A file's own licence is that of its best passage with a cosine of at least
-   ``threshold``; ties go to the first template by name.
+   ``threshold``: a whole licence or header (``LONG``) before a notice, then the
+   higher cosine, then the first template by name.
 3. A file without one takes the licence of the nearest ancestor directory (its own
    first) that holds a licence file: paths are joined with the directories of
-   licence files over all their ancestors, however deep, as equi-joins of distinct directories, so no directory's files are ever gathered.
-
-The templates are short notices and openings written here for well-known public
-licences; others can be passed in.
+   licence files over all their ancestors, however deep, as equi-joins of distinct
+   directories; a directory's files are never gathered, and hot ones stay where they are.
 
 Defined cases: null or empty texts have no own licence but inherit; a null
 path has no directory and inherits nothing; repeated rows are judged one by one;
@@ -29,172 +29,181 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
-TEMPLATES = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
-        "Apache License Version 2.0, January 2004",
-    ),
-    "BSD-3-Clause": (
-        "Use of this source code is governed by a BSD-style license.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-        "BSD 3-Clause License",
-    ),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "Creative Commons Attribution-NonCommercial 4.0 International"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "Creative Commons Attribution 4.0 International"),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "GNU General Public License Version 2, June 1991",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "GNU General Public License Version 3, 29 June 2007",
-    ),
-    "MIT": (
-        "Released under the MIT License.",
-        "MIT License",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ),
-    "MPL-2.0": (
-        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-        "Mozilla Public License Version 2.0",
-    ),
-}
+from prosegauge.llm.batches import parts
+from prosegauge.llm.joins import join_counted
+from prosegauge.llm.license_templates import TEMPLATES
+from prosegauge.runtime import cut
+
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([.\-_].*)?$"
 RESULT = ("own_license", "own_cosine", "license", "license_from")
+LONG = 64
 
 
-def terms(text: str) -> Counter:
-    words = WORD.findall(text.lower())
+def terms(words: list[str]) -> Counter:
     return Counter(words) + Counter(map(" ".join, zip(words, words[1:])))
 
 
+def words_of(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
 class Scanner:
     """Cosine of passages to the templates by their shared terms."""
 
     def __init__(self, templates: dict[str, tuple[str, ...]], threshold: float):
-        self.threshold = threshold
-        flat = [(name, terms(t)) for name in sorted(templates) for t in templates[name]]
+        self.threshold, self.least = threshold, threshold**2 * (1 - 1e-9)
+        flat = [(name, words_of(t)) for name in sorted(templates) for t in templates[name]]
+        bags = [terms(words) for _, words in flat]
         n = len(flat)
-        seen = Counter(t for _, bag in flat for t in bag)
+        seen = Counter(t for bag in bags for t in bag)
         self.idf = {t: math.log((1 + n) / (1 + c)) + 1 for t, c in seen.items()}
         self.rare = math.log(1 + n) + 1  # of a term that no template has
         self.names = [name for name, _ in flat]
+        self.sizes = [len(words) for _, words in flat]
         self.postings: dict[str, list[tuple[int, float]]] = {}
-        self.most = 2 * max((sum(bag.values()) for _, bag in flat), default=0)
-        for k, (_, bag) in enumerate(flat):
+        self.squares: list[dict[str, float]] = [{} for _ in flat]
+        self.ends: list[list[tuple[str, str, float]]] = [[] for _ in flat]  # first and last word of each term
+        for k, bag in enumerate(bags):
             norm = math.sqrt(sum((c * self.idf[t]) ** 2 for t, c in bag.items()))
             for t, c in bag.items():
-                self.postings.setdefault(t, []).append((k, c * self.idf[t] / norm))
-        self.sizes = [len(WORD.findall(t.lower())) for name in sorted(templates) for t in templates[name]]
-        self.around: dict[str, list[int]] = {}  # the templates a key is for
-        self.keys = self._keys()
-        self.words = {word for t in self.postings for word in t.split(" ")}
-        self.pairs: list[list[tuple[str, str, float]]] = [[] for _ in flat]  # first and last word of each term
-        self.squares: list[dict[str, float]] = [{} for _ in flat]
-        for t, found in self.postings.items():
-            for k, w in found:
+                w = c * self.idf[t] / norm
+                self.postings.setdefault(t, []).append((k, w))
                 self.squares[k][t] = w * w
-                self.pairs[k].append((t.split(" ")[0], t.split(" ")[-1], w * w))
+                self.ends[k].append((t.split(" ")[0], t.split(" ")[-1], w * w))
+        self.words = {word for t in self.postings for word in t.split(" ")}
+        self.around: dict[str, list[int]] = {}  # the templates a key is for
+        for k in range(n):
+            for key in self._keys(k):
+                self.around.setdefault(key, []).append(k)
 
-    def _keys(self) -> list[str]:
-        """Strings of which every passage at the threshold holds at least one.
+    def _keys(self, k: int) -> set[str]:
+        """Words of which every passage at the threshold of a template holds at least one.
 
-        A term is looked for by its longest word.  A template's terms are put aside,
-        those with the shortest such word first, while their norm stays below the
-        threshold.  A passage that shares none of the others has a smaller cosine
-        than that norm, whatever else it holds.
+        A term is looked for by its longest word.  The terms with the shortest and most
+        common such words are put aside while their norm stays below the threshold.  A
+        passage that shares none of the others has a smaller cosine than that norm.
         """
-        left: dict[int, list[tuple[int, str, float]]] = {}
-        for t, found in self.postings.items():
+        keyed = []
+        for t, w in self.squares[k].items():
             key = max(t.split(" "), key=lambda word: (len(word), word))
-            for k, w in found:
-                left.setdefault(k, []).append((len(key), key, w))
-        for k, terms_of in left.items():
-            aside = 0.0
-            for _, key, w in sorted(terms_of):
-                aside += w * w
-                if aside >= self.threshold**2 * (1 - 1e-9):
-                    if k not in self.around.setdefault(key, []):
-                        self.around[key].append(k)
-        return sorted(self.around)
-
-    def cosine(self, passage: str) -> tuple[float, str | None]:
+            keyed.append((len(key) > 4, self.idf[key], key, w))
+        found, aside = set(), 0.0
+        for _, _, key, w in sorted(keyed):
+            aside += w
+            if aside >= self.least:
+                found.add(key)
+        return found
+
+    def cosine(self, passage: list[str]) -> tuple[bool, float, int | None]:
+        """Whether a long template is reached, the cosine and the number of the best."""
         bag = terms(passage)
-        if not bag or sum(bag.values()) > self.most:
-            return 0.0, None
         dots: dict[int, float] = {}
         for t, c in bag.items():
             for k, w in self.postings.get(t, ()):
                 dots[k] = dots.get(k, 0.0) + c * self.idf[t] * w
         if not dots:
-            return 0.0, None
+            return False, 0.0, None
         norm = math.sqrt(sum((c * self.idf.get(t, self.rare)) ** 2 for t, c in bag.items()))
-        best = min(dots, key=lambda k: (-dots[k], k))
-        return dots[best] / norm, self.names[best]
+        best = max(dots, key=lambda k: (*self._rank(k, dots[k] / norm), -k))
+        return *self._rank(best, dots[best] / norm), best
+
+    def _rank(self, k: int, cosine: float) -> tuple[bool, float]:
+        return self.sizes[k] >= LONG and cosine >= self.threshold, round(cosine, 12)
 
     def scan(self, text: str | None) -> tuple[str | None, float | None]:
         """Licence and cosine of the best passage of a whole text."""
-        low = (text or "").lower()
-        keys = [key for key in self.keys if key in low]
-        if not keys:
-            return None, None
-        words = WORD.findall(text.lower())
-        every, least = set(words), self.threshold**2 * (1 - 1e-9)
-        live = {m for m, of in enumerate(self.pairs) if sum(w for a, b, w in of if a in every and b in every) >= least}
-        if not live:  # no passage has the terms that a cosine at the threshold takes
+        words = words_of(text or "")
+        every = set(words)
+        keys = every & self.around.keys()
+        # only templates whose terms in the text could make a cosine at the threshold
+        live = {
+            m
+            for m in {m for key in keys for m in self.around[key]}
+            if sum(w for a, b, w in self.ends[m] if a in every and b in every) >= self.least
+        }
+        if not live:
             return None, None
-        lines = [line for line in text.split("\n") if line.strip()]
-        hit = [any(key in line for key in keys) for line in map(str.lower, lines)]
-        best, name = 0.0, None
+        keys = {key for key in keys if not live.isdisjoint(self.around[key])}
+        best: tuple[bool, float, int | None] = (False, 0.0, None)
+
+        def look(passage: list[str]) -> None:
+            nonlocal best
+            found = self.cosine(passage)
+            if found[2] is not None and (found[:2] > best[:2] or (found[:2] == best[:2] and found[2] < best[2])):
+                best = found
+
+        lines = [line for line in map(words_of, text.split("\n")) if line]
+        hit = [not keys.isdisjoint(line) for line in lines]
         for k in range(len(lines)):
             for size in (1, 2, 3):
                 if k + size <= len(lines) and any(hit[k : k + size]):
-                    found, of = self.cosine(" ".join(lines[k : k + size]))
-                    if found > best + 1e-12:
-                        best, name = found, of
+                    look(sum(lines[k : k + size], []))
+        ends, begins = self._trimmed(words)
         for i, j in self.runs(words, live):
-            found, of = self.cosine(" ".join(words[i:j]))
-            if found > best + 1e-12:
-                best, name = found, of
-        return (name, best) if best >= self.threshold else (None, None)
+            look(words[begins[i] : ends[j]])
+        for m in sorted(live):
+            if self.sizes[m] >= LONG:
+                found = self.long_run(words, m)
+                if found:
+                    look(words[begins[found[0]] : ends[found[1]]])
+        return (self.names[best[2]], best[1]) if best[2] is not None and best[1] >= self.threshold else (None, None)
 
-    def runs(self, words: list[str], live: set[int]) -> list[tuple[int, int]]:
-        """Runs of words around each key, as many as a template has that it is for,
-        where the terms about it could reach the threshold."""
+    def _trimmed(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """For each place the nearest before and beyond it at which a template's word is."""
         n = len(words)
-        spans = set()
-        for k, word in enumerate(words):
-            of = [m for m in self.around.get(word, ()) if m in live]
-            for m in of:
-                size = self.sizes[m]
-                if self.near(words[max(0, k - size + 1) : k + size], (m,)):
-                    spans |= {(max(0, s), min(n, s + size)) for s in range(k - size + 1, k + 1)}
-        if not spans:
-            return []
-        ends, begins = list(range(n + 1)), list(range(n + 1))  # the nearest place beyond or before which a template's word is
+        ends, begins = list(range(n + 1)), list(range(n + 1))
         for k in range(n):
             if words[k] not in self.words:
                 ends[k + 1] = ends[k]
         for k in range(n - 1, -1, -1):
             if words[k] not in self.words:
                 begins[k] = begins[k + 1]
-        return sorted({(begins[i], ends[j]) for i, j in spans})
+        return ends, begins
+
+    def runs(self, words: list[str], live: set[int]) -> list[tuple[int, int]]:
+        """Runs of words around each key, as many as a notice has that it is for, where
+        the terms about it could reach the threshold."""
+        n = len(words)
+        spans = set()
+        for k, word in enumerate(words):
+            for m in self.around.get(word, ()):
+                size = self.sizes[m]
+                if m in live and size < LONG and self.near(words[max(0, k - size + 1) : k + size], m):
+                    spans |= {(max(0, s), min(n, s + size)) for s in range(k - size + 1, k + 1)}
+        return sorted(spans)
+
+    def long_run(self, words: list[str], m: int) -> tuple[int, int] | None:
+        """The run of a long template's size that is nearest to it."""
+        n, size = len(words), self.sizes[m]
+        step = max(1, size // 10)
+        inside = [m in self.around.get(word, ()) for word in words]
+
+        def nearness(s: int) -> float:
+            passage = words[max(0, s) : s + size]
+            bag = terms(passage)
+            dot = sum(c * self.idf[t] * math.sqrt(self.squares[m][t]) for t, c in bag.items() if t in self.squares[m])
+            return dot / math.sqrt(sum((c * self.idf.get(t, self.rare)) ** 2 for t, c in bag.items()))
+
+        starts = [s for s in range(0, max(1, n - size + 1) + step - 1, step) if any(inside[s : s + size])]
+        if not starts:
+            return None
+        coarse = max(starts, key=lambda s: (nearness(s), -s))
+        fine = max(range(max(0, coarse - step), min(n, coarse + step + 1)), key=lambda s: (nearness(s) if words[s : s + size] else 0.0, -s))
+        return fine, min(n, fine + size)
 
-    def near(self, words: list[str], templates: Iterable[int]) -> set[int]:
-        """Those of the templates to which a passage of the words could be at the
-        threshold: no cosine exceeds the norm of the terms shared."""
+    def near(self, words: list[str], m: int) -> bool:
+        """Whether a passage of the words could be at the template's threshold: no
+        cosine exceeds the norm of the terms shared."""
         found = set(words) | set(map(" ".join, zip(words, words[1:])))
-        least = self.threshold**2 * (1 - 1e-9)
-        return {m for m in templates if sum(w for t, w in self.squares[m].items() if t in found) >= least}
+        return sum(w for t, w in self.squares[m].items() if t in found) >= self.least
 
 
 def directory(path: Column) -> Column:
@@ -217,7 +226,7 @@ def scan_licenses(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates, threshold)
-        for batch in batches:
+        for batch in parts(batches):
             found = [scanner.scan(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
@@ -235,20 +244,23 @@ def scan_licenses(
         .groupBy(directory(path).alias("_dir"))
         .agg(F.max_by("own_license", F.struct("own_cosine", F.col("own_license"))).alias("_granted"))
     )
-    dirs = source.select(directory(path).alias("_leaf")).where("_leaf is not null").distinct()
+    dirs = cut(source.select(directory(path).alias("_leaf")).where("_leaf is not null").groupBy("_leaf").count())
     parts = F.split("_leaf", "/")
     ancestors = dirs.select(
         "_leaf",
+        "count",
         F.explode(
             F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
         ).alias("_dir"),
     ).distinct()
-    nearest = (
+    nearest = cut(
         ancestors.join(granted, "_dir")
-        .groupBy(F.col("_leaf"))
+        .groupBy("_leaf", "count")
         .agg(F.max_by(F.struct(F.col("_granted").alias("license"), F.col("_dir").alias("dir")), F.length("_dir")).alias("_near"))
     )
-    joined = source.mapInArrow(run, schema).withColumn("_own_dir", directory(path)).join(nearest, F.col("_own_dir") == F.col("_leaf"), "left")
+    scanned = source.mapInArrow(run, schema).withColumn("_leaf", directory(path))
+    total = dirs.agg(F.sum("count").alias("n")).first()["n"] or 0
+    joined = join_counted(scanned, nearest, ["_leaf"], total=total, how="left")
     own = F.col("own_license").isNotNull()
     return joined.select(
         *kept,
