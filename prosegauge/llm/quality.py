@@ -8,19 +8,23 @@ Gated attention, learned from document labels alone, weighs the passages; the
 weighted passage representation gives the score, and the weights say which
 passages made it.
 
-Learning: at most ``sample_docs`` labelled documents, chosen by a hash of their id, and
-of a very long one at most ``sample_passages`` evenly spaced passages, so the
-driver holds ``sample_docs * sample_passages`` encodings at most.  Scoring reads all
-passages of all texts; labels, language, source and id are no input of it.
+Learning: labelled rows in the order of a hash of their id and text, ``sample_docs`` at
+most, as long as they have no more than ``sample_passages`` passages together (a row that
+does not fit any more is passed over); a chosen row is read whole.  So the driver
+holds ``sample_passages`` encodings at most.  Scoring reads all passages of all texts;
+labels, language, source and id are no input of it.
 
 Defined cases: null and empty texts have one passage without pairs and so get the
 model's score for that; without labelled rows of both kinds every score is
-the smoothed share of label 1 (0.5 without rows); rows that repeat an id
-are scored one by one; an empty table gives an empty table.
+the smoothed share of label 1 (0.5 without rows); an id labelled twice has the
+larger label; rows that repeat an id are scored one by one, and equal rows are learned
+from once; an empty table gives an empty table; further columns are carried
+through unless they bear the name of the score.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -31,12 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
+from prosegauge.llm.batches import parts
+from prosegauge.runtime import cut
+
 PASSAGE = 512
 CLASSES = 16
 PAIRS = CLASSES * CLASSES
 WIDTH = PAIRS + 4
 HIDDEN, GATE = 24, 16
 PIECE = PASSAGE * 4096
+DECAY = 1e-5
 
 
 def _class_table() -> np.ndarray:
@@ -103,6 +111,37 @@ class Model:
         return self.attend(encode(text))[0]
 
 
+def loss_and_gradient(p: dict[str, np.ndarray], bags: list[np.ndarray], labels: np.ndarray, weight: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted mean log loss of a batch of documents, with a little decay of the
+    encoder, and its gradient."""
+    x = np.concatenate(bags).astype(np.float64)
+    sizes = np.array([len(b) for b in bags])
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    bag = np.repeat(np.arange(len(bags)), sizes)
+    h = np.tanh(x @ p["e"] + p["eb"])
+    tv, su = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
+    s = (tv * su) @ p["w"]
+    a = np.exp(s - np.maximum.reduceat(s, starts)[bag])
+    a /= np.add.reduceat(a, starts)[bag]
+    z = np.add.reduceat(a[:, None] * h, starts)
+    out = _sigmoid(z @ p["c"] + p["cb"])[:, 0]
+    sure = np.clip(np.where(labels == 1, out, 1 - out), 1e-12, 1)
+    loss = float(-(weight * np.log(sure)).mean() + DECAY / 2 * (p["e"] ** 2).sum())
+    d_out = (out - labels) * weight / len(bags)
+    g = {"c": z.T @ d_out[:, None], "cb": np.array([d_out.sum()])}
+    d_z = d_out[:, None] * p["c"].T
+    d_a = (d_z[bag] * h).sum(axis=1)
+    d_s = a * (d_a - np.add.reduceat(a * d_a, starts)[bag])
+    g["w"] = (tv * su).T @ d_s
+    d_tv, d_su = np.outer(d_s, p["w"]) * su, np.outer(d_s, p["w"]) * tv
+    d_v, d_u = d_tv * (1 - tv**2), d_su * su * (1 - su)
+    g["v"], g["u"] = h.T @ d_v, h.T @ d_u
+    d_h = a[:, None] * d_z[bag] + d_v @ p["v"].T + d_u @ p["u"].T
+    d_e = d_h * (1 - h**2)
+    g["e"], g["eb"] = x.T @ d_e + DECAY * p["e"], d_e.sum(axis=0)
+    return loss, g
+
+
 def fit(bags: list[np.ndarray], labels: np.ndarray, *, epochs: int = 40, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Model:
     """Adam on the log loss of document labels, both labels given equal weight
     as a whole by half (square root of the imbalance)."""
@@ -127,29 +166,7 @@ def fit(bags: list[np.ndarray], labels: np.ndarray, *, epochs: int = 40, batch:
         order = rng.permutation(n)
         for begin in range(0, n, batch):
             take = order[begin : begin + batch]
-            x = np.concatenate([bags[k] for k in take]).astype(np.float64)
-            sizes = np.array([len(bags[k]) for k in take])
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            bag = np.repeat(np.arange(len(take)), sizes)
-            h = np.tanh(x @ p["e"] + p["eb"])
-            tv, su = np.tanh(h @ p["v"]), _sigmoid(h @ p["u"])
-            s = (tv * su) @ p["w"]
-            a = np.exp(s - np.maximum.reduceat(s, starts)[bag])
-            a /= np.add.reduceat(a, starts)[bag]
-            z = np.add.reduceat(a[:, None] * h, starts)
-            out = _sigmoid(z @ p["c"] + p["cb"])[:, 0]
-            d_out = (out - labels[take]) * weight[take] / len(take)
-            g = {"c": z.T @ d_out[:, None], "cb": np.array([d_out.sum()])}
-            d_z = d_out[:, None] * p["c"].T
-            d_a = (d_z[bag] * h).sum(axis=1)
-            d_s = a * (d_a - np.add.reduceat(a * d_a, starts)[bag])
-            g["w"] = (tv * su).T @ d_s
-            d_tv, d_su = np.outer(d_s, p["w"]) * su, np.outer(d_s, p["w"]) * tv
-            d_v, d_u = d_tv * (1 - tv**2), d_su * su * (1 - su)
-            g["v"], g["u"] = h.T @ d_v, h.T @ d_u
-            d_h = a[:, None] * d_z[bag] + d_v @ p["v"].T + d_u @ p["u"].T
-            d_e = d_h * (1 - h**2)
-            g["e"], g["eb"] = x.T @ d_e + 1e-5 * p["e"], d_e.sum(axis=0)
+            _, g = loss_and_gradient(p, [bags[k] for k in take], labels[take], weight[take])
             step += 1
             speed = rate * min(1.0, 2 * (1 - epoch / epochs))
             for k in p:
@@ -168,7 +185,7 @@ def learn(
     label_col: str = "quality",
     usable: Column | None = None,
     sample_docs: int = 4000,
-    sample_passages: int = 64,
+    sample_passages: int = 100_000,
 ) -> Model:
     """Fit on a bounded sample of rows of ``labels`` (where ``usable`` holds)."""
     spot = F.conv(F.substring(F.md5(F.col(id_col).cast("string")), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
@@ -176,28 +193,35 @@ def learn(
     if usable is not None:
         rows = rows.where(usable)
     rows = rows.groupBy(id_col).agg(F.max(label_col).cast("int").alias("label"))
-    n = rows.count()
-    share = min(1.0, sample_docs / max(1, n))
-    chosen = rows.where(spot < share).orderBy(spot, id_col).limit(sample_docs)
+    share = min(1.0, sample_docs / max(1, rows.count()))
+    chosen = rows.where(spot < share).orderBy(spot, id_col).limit(sample_docs).select(F.col(id_col).alias("_id"), "label", spot.alias("spot"))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for text in batch.column(2).cast(pa.binary()):
-                x = encode(text.as_py() or b"")
-                if len(x) > sample_passages:
-                    x = x[np.linspace(0, len(x) - 1, sample_passages).astype(int)]
-                out.append(x.astype(np.float16).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["id", "label", "x"]
-            )
+            for part in parts([batch], 64):
+                texts = [t.as_py() or b"" for t in part.column(2).cast(pa.binary())]
+                bags = [encode(t) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array([len(x) for x in bags], pa.int64()),
+                     pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())],
+                    names=["spot", "label", "tie", "n", "x"],
+                )
 
     own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    joined = own.join(F.broadcast(chosen), F.col("_id") == F.col(id_col)).select(F.col("_id").cast("string").alias("id"), "label", "_text")
-    got = joined.mapInArrow(encoded, "id string, label int, x binary").collect()
-    got.sort(key=lambda r: (r["id"], bytes(r["x"])))
-    bags = [np.frombuffer(bytes(r["x"]), dtype=np.float16).reshape(-1, WIDTH) for r in got]
-    return fit(bags, np.array([r["label"] for r in got], dtype=np.float64))
+    joined = own.join(F.broadcast(chosen), "_id").select("spot", "label", "_text")
+    bags = cut(joined.mapInArrow(encoded, "spot double, label int, tie string, n long, x binary").dropDuplicates(["spot", "tie"]))
+    left, taken = sample_passages, []
+    for r in bags.select("spot", "tie", "n").orderBy("spot", "tie").limit(sample_docs).collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((r["spot"], r["tie"]))
+    if not taken:
+        return Model(None)
+    spots, ties = zip(*taken)
+    wanted = docs.sparkSession.createDataFrame(pa.table({"spot": pa.array(spots, pa.float64()), "tie": pa.array(ties, pa.string())}))
+    got = sorted(bags.join(F.broadcast(wanted), ["spot", "tie"], "left_semi").collect(), key=lambda r: (r["spot"], r["tie"]))
+    x = [np.frombuffer(bytes(r["x"]), dtype=np.float16).reshape(-1, WIDTH) for r in got]
+    return fit(x, np.array([r["label"] for r in got], dtype=np.float64))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -209,7 +233,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        for batch in batches:
+        for batch in parts(batches):
             found = [model.score(t.as_py() or b"") for t in batch.column(at).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], names=[*kept, name])
 
