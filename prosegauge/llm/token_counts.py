@@ -2,20 +2,23 @@
 
 A text is cut into pre-tokens (a run of white space's last space joins the word
 after it).  A pre-token's best segmentation maximises the sum of its pieces' scores;
-forward scores depend on the prefix alone, so the distinct pre-tokens of a batch
-are put into a trie and every node is scored once: words that share a
-prefix share its work.  Terminal nodes hold the number of pieces, which is
-stored by pre-token, so each distinct pre-token is scored once in a task.
+forward scores depend on the prefix alone.  So the distinct pre-tokens of a batch are
+inserted in a trie, whose nodes hold the forward score and the number of pieces of
+their prefix: each is scored once, when it is made, however many pre-tokens share
+it.  Nodes at which a pre-token ends are terminal, and their counts are kept by
+pre-token, so each distinct pre-token is scored once in a task.  The trie of a batch
+is let go after it, the counts while they are few.  The trie is ``DEPTH`` deep: of a
+longer pre-token the rest is scored on from its node without being stored, so
+memory is bounded.
 
 Vocabulary: the ranks of a public byte-level tokenizer (nothing is trained).  A
 piece's score is minus its code length under Zipf's law, ``-log(rank + 10)``;
 all 256 single bytes are pieces, so every text can be segmented.  Ties go to the
 fewer pieces.
 
-Defined cases: null and empty texts have no pre-tokens and no tokens; a
-pre-token longer than ``LONGEST`` bytes is segmented on its own, outside the
-trie, with the same result; rows that repeat an id are counted one by one; an empty
-table gives an empty table.
+Defined cases: null and empty texts have no pre-tokens and no tokens; a pre-token of
+any length is a path of the trie; rows that repeat an id are counted one by one; an
+empty table gives an empty table; further columns are left out.
 """
 
 from __future__ import annotations
@@ -29,13 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PRE_TOKEN = re.compile(rb" ?[^\s]+|\s+?(?= [^\s])|\s+")
-LONGEST = 256
 HELD = 1 << 18
+DEPTH = 1024
 
 
-def load_scores(path: str = DEFAULT_RANKS) -> dict[bytes, float]:
+def load_scores(path: str) -> dict[bytes, float]:
     """Scores of the pieces of a file of base64 pieces and ranks."""
     scores = {}
     with open(path, "rb") as lines:
@@ -59,46 +61,59 @@ class Counter:
                 node = node.setdefault(byte, {})
             node[-1] = score
         self.known: dict[bytes, int] = {}
-
-    def _forward(self, word: bytes, best: list[float], pieces: list[int], begin: int) -> None:
-        """Extend the forward scores of ``word[:begin]`` to the whole word."""
-        del best[begin + 1 :], pieces[begin + 1 :]
-        for end in range(begin + 1, len(word) + 1):
-            node, top, count, start = self.ends, -math.inf, 0, end
+        self.grow()
+
+    def insert(self, word: bytes) -> int:
+        """Number of pieces of a word, which is put into the trie.
+
+        ``best`` and ``pieces`` are the forward scores and counts of its prefixes, of
+        which only those within a piece's length are looked at again.
+        """
+        node, depth = 0, 0
+        best, pieces = [self.best[0]], [self.pieces[0]]
+        for byte in word[:DEPTH]:  # as far as the trie has it
+            below = self.children.get(node << 8 | byte)
+            if below is None:
+                break
+            node, depth = below, depth + 1
+            best.append(self.best[node])
+            pieces.append(self.pieces[node])
+        gone = 0  # prefixes forgotten
+        for end in range(depth + 1, len(word) + 1):
+            ends, top, count, start = self.ends, -math.inf, 0, end
             while start:
-                node = node.get(word[start - 1])
-                if node is None:
+                ends = ends.get(word[start - 1])
+                if ends is None:
                     break
                 start -= 1
-                score = node.get(-1)
+                score = ends.get(-1)
                 if score is not None:
-                    total = best[start] + score
-                    if total > top or (total == top and pieces[start] + 1 < count):
-                        top, count = total, pieces[start] + 1
+                    total = best[start - gone] + score
+                    if total > top or (total == top and pieces[start - gone] + 1 < count):
+                        top, count = total, pieces[start - gone] + 1
             best.append(top)
             pieces.append(count)
+            if end <= DEPTH:
+                self.children[node << 8 | word[end - 1]] = node = len(self.best)
+                self.best.append(top)
+                self.pieces.append(count)
+            elif len(best) > 4096 + self.longest:
+                gone += 4096
+                del best[:4096], pieces[:4096]
+        return pieces[-1]
+
+    def grow(self) -> None:
+        """Begin a new trie: its root only."""
+        self.children: dict[int, int] = {}  # by node and byte
+        self.best, self.pieces = [0.0], [0]
 
     def learn(self, words: Iterable[bytes]) -> None:
-        """Count new pre-tokens.  In sorted order a depth-first walk of their trie
-        is one stack of forward scores, cut back to the shared prefix."""
+        """Count new pre-tokens by a trie of them."""
         if len(self.known) > HELD:
             self.known.clear()
-        new = sorted(set(words) - self.known.keys())
-        best, pieces, last = [0.0], [0], b""
-        for word in new:
-            if len(word) > LONGEST:
-                scores, counts = [0.0], [0]
-                self._forward(word, scores, counts, 0)
-                self.known[word] = counts[-1]
-                continue
-            shared = 0
-            for a, b in zip(word, last):
-                if a != b:
-                    break
-                shared += 1
-            self._forward(word, best, pieces, shared)
-            self.known[word] = pieces[-1]
-            last = word
+        self.grow()
+        for word in set(words) - self.known.keys():
+            self.known[word] = self.insert(word)
 
     def count(self, text: bytes) -> tuple[int, int]:
         """Pre-tokens and tokens of a text."""
@@ -110,7 +125,7 @@ class Counter:
 
 
 def count_tokens(
-    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ranks_path: str = DEFAULT_RANKS
+    docs: DataFrame, ranks_path: str, *, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``id_col``, ``n_bytes``, ``n_pretokens`` and ``n_tokens``; no exchange.
 
