@@ -1,7 +1,7 @@
 """Mixing sources to target weights with hash-threshold histograms.
 
 Every document has a fixed pseudo-random place in its source: the 48 leading
-bits of ``md5(id)``.  A source that must supply a fraction of
+bits of ``md5(id)``, or of its text's where there is no id.  A source that must supply a fraction of
 its words takes the documents below a threshold of that hash, so a larger
 budget always takes a superset of a smaller one, and nothing is sorted:
 
@@ -18,8 +18,8 @@ until no target is above.  A target over the source's size takes every document
 the threshold is taken if that brings the source nearer to its target.
 
 Defined cases: null text has size 0; a null source is a source of its own, last
-in order; repeated rows are separate documents with the same place; documents of
-size 0 take 0 words; an empty table gives an empty table; further columns are
+in order; repeated rows are separate documents with the same place; documents without
+an id are placed by their text; documents of size 0 take 0 words; an empty table gives an empty table; further columns are
 carried through unless they bear a name of the result.
 
 Only DataFrame functions are used; the driver holds one row for each source at
@@ -86,7 +86,7 @@ def mix(
     """
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in RESULT]
-    at = place(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    at = place(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text:"), F.md5(F.coalesce(text_col, F.lit(""))))))
     left = 48 - SPLITS[0]
     placed = docs.select(F.col(source_col).alias("src"), F.col(text_col).alias("text"), at.alias("_place"))
     cells = cut(
