@@ -48,10 +48,6 @@ def all_of(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), group)
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, UPPER, LOWER)
-
-
 def _ranges(chars: list[int]) -> str:
     out, k = [], 0
     while k < len(chars):
@@ -108,7 +104,7 @@ def fold(text: Column) -> Column:
         ascii_ones = let(F.translate(x, UPPER + one_from, LOWER + one_to), lambda y: _replace_chars(y, several))
         return F.regexp_replace(ascii_ones, rf"[[{fixed.LETTER_CHARS}]&&[^\x00-\x7F]]+", "")
 
-    return let(text, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), wide(x)).otherwise(ascii_lower(x)))
+    return let(text, lambda x: F.when(x.rlike(r"[^\x00-\x7F]"), wide(x)).otherwise(F.lower(x)))
 
 
 @cache

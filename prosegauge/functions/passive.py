@@ -20,7 +20,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosegauge import fixed
-from prosegauge.functions.chars import LOWER, SENTENCE, UPPER, all_of, count_of
+from prosegauge.functions.chars import SENTENCE, all_of, count_of
 
 VERSIONS = (3, 4, 5)
 _STOP = "(?![^ ])"
@@ -30,7 +30,11 @@ _ANY_GAP = "(?: [.;:!?])? "
 
 def canonical(text: Column) -> Column:
     """Words and clause marks of a text with ``SENTENCE`` marks."""
-    plain = F.translate(text, UPPER + "’", LOWER + "'")
+    # of all characters that are not ASCII only these two have ASCII lower forms
+    plain = text
+    for char, to in (("\u212a", "\ufffd"), ("\u0130", "\ufffd"), ("’", "'")):
+        plain = F.replace(plain, F.lit(char), F.lit(to))
+    plain = F.lower(plain)
     pieces = r"[a-z]+(?:'[a-z]+)?|[.;:!?](?=[^a-z.;:!?\x{FDD2}]*(?:[a-z\x{FDD2}]|\z))|\x{FDD2}"
     return F.array_join(all_of(plain, pieces), " ")
 

@@ -33,10 +33,10 @@ TOKEN = (
     rf"{_MARKER}(?<!{_INSIDE}{_MARKER})(?!{_INSIDE})"
     rf"|(?=[A-Za-z]|{_PART})[{in_class(fixed.OPENERS)}]*+("
     # abbreviations and numbers with a dot, whole
-    rf"{one_of(fixed.TOKEN_ABBREVIATIONS)}(?!{_INSIDE})(?<!{_INSIDE}{one_of(fixed.TOKEN_ABBREVIATIONS)})"
+    rf"(?=[A-Za-z]{{1,3}}\.){one_of(fixed.TOKEN_ABBREVIATIONS)}(?!{_INSIDE})(?<!{_INSIDE}{one_of(fixed.TOKEN_ABBREVIATIONS)})"
     rf"|\p{{Nd}}+(?:\.\p{{Nd}}+)*\.(?!{_INSIDE})"
     # letters run through; only where a trailer or mark stands, its end is looked for
-    rf"|(?:[A-Za-z]++|[^{_EDGE}{_ENDINGS}]|(?!{_OVER})[{_ENDINGS}])*+"
+    rf"|(?:[A-Za-z]++|[^{_EDGE}{_ENDINGS}]|(?=[{_ENDINGS}])(?!{_OVER})[{_ENDINGS}])*+"
     rf"){_PART}*+"
 )
 
@@ -49,7 +49,7 @@ _SILENT = (
 )
 #: Consonants between two groups of vowels, in words of four letters or more, the second not silent.
 FURTHER_SYLLABLE = (
-    rf"(?<={_VOWEL})(?:(?<=[a-z]{_VOWEL}){_CONSONANT}+|(?<=(?<![a-z]){_VOWEL}){_CONSONANT}{{2,}}"
+    rf"(?={_CONSONANT})(?<={_VOWEL})(?:(?<=[a-z]{_VOWEL}){_CONSONANT}+|(?<=(?<![a-z]){_VOWEL}){_CONSONANT}{{2,}}"
     rf"|(?<=(?<![a-z]){_VOWEL}){_CONSONANT}(?={_VOWEL}[a-z]))(?={_VOWEL})(?!{_SILENT})"
 )
 _L = f"[{fixed.LETTER_CHARS}]"
@@ -146,8 +146,8 @@ def syllable_total(of_tokens: Column) -> Column:
     with digits or ``@`` are looked at one by one."""
     odd_ones = rf"(?<![^ ])(?:[A-Za-z]++|[^ {_special()[1:-1]}])*+{_special()}[^ ]*+"
     listed = {word: n - _estimate(word) for word, n in fixed.SYLLABLE_EXCEPTIONS.items() if n != _estimate(word)}
-    words = "|".join(listed)
-    whole = rf"(?iu)(?:{words})(?!{_L})(?!{_JOINT}{_L})(?<!{_L}(?:{words}))(?<!{_L}{_JOINT}(?:{words}))"
+    words, begins = "|".join(listed), "".join(sorted({word[0] for word in listed}))
+    whole = rf"(?iu)(?=[{begins}])(?:{words})(?!{_L})(?!{_JOINT}{_L})(?<!{_L}(?:{words}))(?<!{_L}{_JOINT}(?:{words}))"
 
     def plain_words(plain: Column) -> Column:
         joined = F.regexp_replace(plain, f"{_JOINT}(?<={_L}{_JOINT})(?={_L})", "")
