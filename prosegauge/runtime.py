@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,13 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Name of the shared checkpoint folder.
 
-    The cluster's ``spark.checkpoint.dir`` wins.  Only where neither it nor
-    ``SparkContext.setCheckpointDir`` names a folder (local tests) is a
-    temporary one made.
+    The cluster's ``spark.checkpoint.dir`` wins, then ``SparkContext.setCheckpointDir``.
+    Only a local session (tests) that names none gets a temporary one; on a cluster
+    executors and driver would not see each other's.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir() is None:
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="prosegauge-checkpoint-"))
     return named or sc.getCheckpointDir()
 
@@ -32,12 +35,15 @@ def cut(df: DataFrame) -> DataFrame:
 TEXT_TABLES = ("documents", "pages", "conversations")
 
 
+#: Tables of fewer splits are spread; larger ones are exchanged for no such reason.
+FEW_SPLITS = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its files make fewer partitions than there are cores
-    (one small file is one task, however many cores wait).  Inputs of many
-    splits stay as they are: nothing is exchanged."""
+    """``df`` over all cores if its few files make fewer partitions than there are cores
+    (one small file is one task, however many cores wait)."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
