@@ -245,12 +245,12 @@ def scan_licenses(
         .agg(F.max_by("own_license", F.struct("own_cosine", F.col("own_license"))).alias("_granted"))
     )
     dirs = cut(source.select(directory(path).alias("_leaf")).where("_leaf is not null").groupBy("_leaf").count())
-    parts = F.split("_leaf", "/")
+    steps = F.split("_leaf", "/")
     ancestors = dirs.select(
         "_leaf",
         "count",
         F.explode(
-            F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+            F.transform(F.sequence(F.lit(0), F.size(steps)), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
         ).alias("_dir"),
     ).distinct()
     nearest = cut(
