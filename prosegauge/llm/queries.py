@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 import corpus_pipeline
@@ -80,8 +81,12 @@ FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source LEFT JOIN e ON d.source
 """
 
 
+#: The vocabulary file of a public tokenizer, as the environment gives it.
+RANKS = os.environ.get("PROSEGAUGE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS)
 
 
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,36 +112,38 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return decontamination.contamination(docs, table(spark, sf_dir, "benchmark").select("item_id", "text")).drop("text")
 
 
-def _op7_words(name: str, key: str) -> str:
-    return f"""SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+def _op7_words(name: str, keys: str) -> str:
+    return f"""SELECT {keys}, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM {name}"""
 
 
 OP7_SQL = f"""
-WITH d AS ({_op7_words("documents", "doc_id")}), b AS ({_op7_words("benchmark", "item_id")}),
+WITH d AS ({_op7_words("documents", "row_number() OVER () AS r, doc_id")}), b AS ({_op7_words("benchmark", "item_id")} WHERE item_id IS NOT NULL),
 bw AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[s : s + least(13, len(w)) - 1], ' ') AS t
   FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(s) WHERE len(w) > 0),
 sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (
-  SELECT doc_id, n, s, array_to_string(w[s : s + n - 1], ' ') AS t
-  FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
-m AS (SELECT doc_id, n, s, item_id FROM dw JOIN bw USING (n, t)),
-hit AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM m) GROUP BY doc_id),
-it AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(i, ',' ORDER BY i) AS items
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM m) GROUP BY doc_id)
+  SELECT r, n, s, array_to_string(w[s : s + n - 1], ' ') AS t
+  FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS s FROM d, sizes WHERE len(w) >= n)),
+m AS (SELECT r, n, s, item_id FROM dw JOIN bw USING (n, t)),
+hit AS (SELECT r, count(DISTINCT p)::BIGINT AS n_hit, (count(DISTINCT p) FILTER (n = 13))::BIGINT AS n_full
+  FROM (SELECT r, n, unnest(range(s, s + n)) AS p FROM m) GROUP BY r),
+it AS (SELECT r, count(*)::BIGINT AS n_items, string_agg(i, ',' ORDER BY i) AS items
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS i FROM m) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_full, 0)::BIGINT AS n_full
+FROM d LEFT JOIN hit USING (r) LEFT JOIN it USING (r)
 """
 
 
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents as files of a tree: ``source/shelf/box/name``, the first of
-    every hundred ids of a source's box a LICENSE file."""
+    """The documents as files of a tree: ``source/shelf/name``; every hundredth id is a
+    LICENSE file, every two hundredth one of the source's own directory."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     name = F.when(F.col("doc_id") % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     shelf = F.when(F.col("doc_id") % 200 == 0, F.lit(None)).otherwise(F.concat(F.lit("s"), F.floor(F.col("doc_id") / 1000).cast("string")))
@@ -169,8 +176,9 @@ FROM d LEFT JOIN kept USING (doc_id)
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learn(docs.where(_remainder(4) != 2))
-    found = language_id.identify(docs.select("doc_id", "text"), model, min_margin=0.0)
-    return found.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    # the contract wants a language for every text with a letter; what would be rejected is marked
+    found = language_id.identify(docs.select("doc_id", "text"), model, reject=False)
+    return found.withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False))).select("doc_id", "held_out", "lang_pred", "score", "margin", "rejected")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

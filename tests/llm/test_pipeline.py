@@ -13,7 +13,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import test_llm_operators as by_hand  # noqa: E402
 
 import corpus_pipeline as P  # noqa: E402
-from prosegauge.llm import mixing, quality, simhash  # noqa: E402
+from prosegauge.llm import mixing, quality  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -68,7 +68,7 @@ def test_stages(spark, folder):
     assert {(r["doc_id"], r["text"] or "") for r in got.where("doc_id is not null").collect()} == kept and got.count() == len(rows)
     assert sum((r["text"] or "").lower().count("shared boilerplate line") for r in got.collect()) == 1
 
-    sets = {r[0]: simhash.shingle_set((r[1] or "").encode(), 5) for r in rows if r[0] is not None}
+    sets = {r[0]: by_hand.shingles_by_hand(r[1]) for r in rows if r[0] is not None}
     alike = lambda a, b: a == b or len(a & b) / max(1, len(a | b)) >= 0.8
     of = by_hand.union([(a, b) for a, b in itertools.combinations(sets, 2) if alike(sets[a], sets[b])], sets)
     got = s3(spark, clash, path)
