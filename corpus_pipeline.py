@@ -14,7 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prosegauge.llm import decontamination, line_dedup, mixing, quality, simhash
+from prosegauge.llm import decontamination, line_dedup, mixing, quality, similar
+from prosegauge.llm.joins import only
 from prosegauge.runtime import ensure_checkpoint_dir, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -45,24 +46,18 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of documents linked at a similarity of 0.8 or more (sets of
     five-word shingles) the one with the smallest id stays."""
     docs = docs.select(*COLUMNS)
-    groups = simhash.similar_documents(docs, width=5, similarity=0.8)
+    groups = similar.similar_documents(docs, width=5, similarity=0.8)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return only(docs, gone, "doc_id", keep=False).select(*COLUMNS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go, however long they are: a passage
     in a long document leaks as much as in a short one.  Items of fewer words than a
     window may be common words, so for these a document goes by its share of hits."""
-    docs = docs.select(*COLUMNS)
     items = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    size = F.size(decontamination.words(F.col("text")))
-    gone = decontamination.contamination(docs, items.where(size >= decontamination.WINDOW)).where("n_hit > 0").select("doc_id")
-    short = items.where((size > 0) & (size < decontamination.WINDOW))
-    if not short.isEmpty():
-        gone = gone.unionByName(decontamination.contamination(docs, short).where("contaminated").select("doc_id"))
-    gone = gone.distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    found = decontamination.contamination(docs.select(*COLUMNS), items)
+    return found.where("not (n_full > 0 or contaminated)").select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,13 +79,23 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; what they hand on is kept in the shared checkpoint folder."""
+    """All stages; what they hand on is kept in the shared checkpoint folder, and
+    removed when the next one has written its own (the last stage's result still
+    reads the last of them)."""
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{k}-{name}")
             docs = spark.read.parquet(f"{folder}/{k}-{name}")
+            if kept:
+                _remove(spark, kept)
+            kept = f"{folder}/{k}-{name}"
     return docs
