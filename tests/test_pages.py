@@ -1,8 +1,10 @@
 """Flat and tagged pages, reflow, reliability and estimates."""
 
 import json
+import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from prosegauge.sources.files import SourceBundle, bundle_frame
 from prosegauge.sources.pdf import align_geometry, aligned
 from prosegauge.sources.profiles import load_profile
 
+FOLDER = "/root/testdata/sf0.001"
+
 
 def lines_frame(spark, book, doc=0):
     rows = [(doc, p, k, t, None) for p, page in enumerate(book, 1) for k, t in enumerate(page)]
@@ -351,3 +355,39 @@ def test_pdf_header(spark):
     rows = [(0, b"junk %PDF-1.4"), (1, b"\x02\x55\x04\x44\x62\xd0"), (2, b""), (3, None), (4, b"x" * 1030 + b"%PDF-")]
     got = spark.createDataFrame(rows, "id int, content binary").select("id", pdf.has_pdf_header(F.col("content")).alias("has")).collect()
     assert {r["id"]: bool(r["has"]) for r in got} == {0: True, 1: False, 2: False, 3: False, 4: False}
+
+
+def test_pages_of_documents_are_not_exchanged_word_by_word(spark):
+    """Pages made where a document lies give the segments that tables of words give,
+    and only groups and lines are exchanged."""
+    from prosegauge.plans import queries
+
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no data")
+    few = queries.table(spark, FOLDER, "documents").where("doc_id % 10 = 3").select("doc_id")
+    columns = ["doc_id", "segment_id", "text", "role", "role_basis", "warnings", "in_panel", "pages"]
+    of = lambda segments: sorted(map(repr, segments.join(few, "doc_id").select(*columns).collect()))
+    made = tagged.page_segments(queries._paged(spark, FOLDER))
+    assert of(made) == of(tagged.tagged_segments(*queries._word_tables(spark, FOLDER))) != []
+    plan = tagged.page_facts(queries._paged(spark, FOLDER))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_lines_of_many_items_are_those_of_each():
+    rng = random.Random(5)
+    rows = sorted((k, rng.choice([10.0, 11.5, 13.0, 14.9, 20.0, 24.0]), rng.random(), n) for n, k in enumerate(rng.choices(range(40), k=400)))
+    got = tagged.item_lines(*map(np.array, zip(*rows))).tolist()
+    want = [x for k in range(40) for x in tagged.fold_lines([r[1:] for r in rows if r[0] == k])]
+    assert got == want and len(set(want)) > 2
+
+
+def test_null_ranks_and_void_tags_of_a_page(spark):
+    d = Doc()
+    d.put(1, "one two", 100, group="a", tag="P")
+    d.put(1, "three", 120, group="b", tag="P")
+    d.put(1, "four", 140, group="c", tag="P")
+    d.tags.append((*d.tags[2][:3], 9, ["P"], "z", "P", None))  # the third item again, otherwise
+    d.tags.append(d.tags[0])  # and the first one, the same
+    d.tags[1] = (*d.tags[1][:3], None, *d.tags[1][4:])
+    got = d.segments(spark)
+    assert [(r["kind"], r["text"]) for r in got] == [("group", "three"), ("group", "one two"), ("line", "four")]
