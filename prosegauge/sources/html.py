@@ -11,9 +11,10 @@ for UTF-8 (not just a first part); a page without blocks has no segments.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -50,6 +51,23 @@ def _page_blocks(html: bytes | str | None, root_id: str | None, converted: bool,
     return ([], wrong) if wrong else word_blocks(text[0][0], dict(boundaries) if boundaries is not None else None)
 
 
+#: Content that is parsed at a time: a worker holds the blocks of so many bytes or rows, however large its batches are.
+PART_BYTES, PART_ROWS = 1 << 21, 256
+
+
+def page_parts(batches: Iterable[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of about ``PART_BYTES`` of column ``at`` (one page at least)."""
+    for batch in batches:
+        start, held = 0, 0
+        for k, size in enumerate(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist()):
+            if k > start and (held + size > PART_BYTES or k - start >= PART_ROWS):
+                yield batch.slice(start, k - start)
+                start, held = k, 0
+            held += size
+        if start < batch.num_rows:
+            yield batch.slice(start)
+
+
 def with_blocks(pages: DataFrame, content: str, *, root_id: str | None = None, boundaries: str | None = None) -> DataFrame:
     """``pages`` without ``content``, with ``blocks`` (text, role, tag) and ``blocks_error``.
 
@@ -63,7 +81,7 @@ def with_blocks(pages: DataFrame, content: str, *, root_id: str | None = None, b
     back = [k for k in range(len(kept)) if k != at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in page_parts(batches, at):
             found, errors = [], []
             limits = batch.column(bounds_at).to_pylist() if boundaries else [None] * batch.num_rows
             for page, bounds in zip(batch.column(at), limits):

@@ -230,3 +230,15 @@ def test_a_bad_source_stops_no_other(spark):
     rows = analyze(bundle_frame(spark, made), "semantic-html@0.6.0").orderBy("doc_id").collect()
     assert [r["error"]["code"] if r["error"] else None for r in rows] == [None, "adapter_contract_error", "analysis_error", "adapter_contract_error"]
     assert rows[0]["metrics"]["word_count"]["value"] == 3 and rows[1]["metrics"] is None
+
+
+def test_pages_are_parsed_in_small_parts():
+    import pyarrow as pa
+
+    from prosegauge.sources import html
+
+    sizes = [10, 0, html.PART_BYTES + 5, html.PART_BYTES // 2, html.PART_BYTES // 2, 7, *[1] * (html.PART_ROWS + 3)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(sizes))), pa.array([b"x" * n if n else None for n in sizes], pa.binary())], names=["doc_id", "content"])
+    parts = list(html.page_parts([batch, batch.slice(0, 0)], 1))
+    assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(len(sizes)))
+    assert [p.num_rows for p in parts[:4]] == [2, 1, 2, html.PART_ROWS] and len(parts) == 5
