@@ -391,3 +391,21 @@ def test_null_ranks_and_void_tags_of_a_page(spark):
     d.tags[1] = (*d.tags[1][:3], None, *d.tags[1][4:])
     got = d.segments(spark)
     assert [(r["kind"], r["text"]) for r in got] == [("group", "three"), ("group", "one two"), ("line", "four")]
+
+
+def test_blocks_tell_what_their_lines_were(spark):
+    """Blocks and diagnostics are of one pass over the lines."""
+    rows = [("One", 1, box(72, 72), "body"), ("more", 1, box(72, 86), "body"), ("no box", 1, None, "body"), ("• item", 1, box(72, 158), "list"), ("next", 2, box(72, 72), "body")]
+    lines = segs(spark, rows)
+    got = reflow.joined_blocks(lines).groupBy("doc_id").agg(reflow.reflow_facts().alias("r")).select("doc_id", "r.*").first()
+    assert got == reflow.reflow_diagnostics(lines).first() and got["decision_counts"]["continuation"] == 1
+
+
+def test_keys_are_made_of_edges_only(spark):
+    """Lines inside a page take no part in the search of repeated edges, and one hot source is no hot key."""
+    book = [["Report 1", f"Line {k} stays.", "Report 1", "Page 1 of 4"] for k in range(4)]
+    got = pages.classified_lines(lines_frame(spark, book))
+    roles = [r["found"]["role"] for r in got.orderBy("page", "line_index").collect()]
+    assert roles[::4] == ["header"] * 4 and roles[3::4] == ["footer"] * 4 and not {"header", "footer"} & {*roles[1::4], *roles[2::4]}
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert "\0" in plan, "lines inside a page are spread by their page"
