@@ -3,7 +3,8 @@
 Counts first, then one division: scores of parts are never averaged.  A document's
 text comes as one string whose blocks end with ``BLOCK``; every count is a pattern
 count or an array size over it, so a document costs a fixed number of passes and
-nothing is exploded or shuffled.
+nothing is exploded or shuffled.  With ``batches`` an Arrow function makes the same
+counts of known chunks (``functions.chunks``), in a fraction of the time.
 
 Defined cases: null text counts as empty; without sentences or words the ratios are
 null; sentences without any word are an ``analysis_error`` (``count_error``).
@@ -15,18 +16,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge import fixed
-from prosegauge.functions import passive, sentences, tokens, v1
+from prosegauge.functions import chunks, passive, sentences, tokens, v1
 
 COUNTS = ("readability_word_count", "sentence_count", "paragraph_count", "fragment_count", "character_count", "syllable_count", "passive_sentence_count")
 
 
-def with_counts(df: DataFrame, readability: str, *, content: str | None = None, version: int | None = 5, prefix: str = "") -> DataFrame:
+def with_counts(df: DataFrame, readability: str, *, content: str | None = None, version: int | None = 5, prefix: str = "", batches: bool = False) -> DataFrame:
     """``df`` with the counts of its ``readability`` blocks and, if ``content`` is
     given, ``word_count`` of those.
 
     Each step is a projection of its own, so what a step makes is made once.
     ``version`` None leaves passive sentences out.
     """
+    if batches:
+        return _with_batch_counts(df, readability, content, version, prefix)
     kept = df.columns
     p = prefix
     long = lambda c, name: c.cast("long").alias(p + name)
@@ -61,6 +64,21 @@ def with_counts(df: DataFrame, readability: str, *, content: str | None = None,
     )
 
 
+def _with_batch_counts(df: DataFrame, readability: str, content: str | None, version: int | None, p: str) -> DataFrame:
+    kept = df.columns
+    text = lambda name: F.coalesce(F.col(name), F.lit(""))
+    marked = sentences.marked(text(readability)).alias("_marked")
+    x = df.select(*kept, *([text(content).alias("_own_content")] if content else []), marked)
+    own = [chunks.total_struct(F.col("_own_content")).alias("_own")] if content else []
+    x = x.select(*kept, *own, chunks.count_struct(F.col("_marked")).alias("_counts"))
+    counts = F.col("_counts")
+    made = {name: counts[name] for name in chunks.COUNTS}
+    if version:
+        made["passive_sentence_count"] = passive.passive_count(passive.canonical(counts["may_be_passive"]), version).cast("long")
+    words = [F.col("_own")["words"].alias(p + "word_count")] if content else []
+    return x.select(*kept, *words, *[made[name].alias(p + name) for name in COUNTS if name in made])
+
+
 def metric_columns(prefix: str = "", passive_count: bool = True) -> dict[str, Column]:
     """The five ratios of a document's counts."""
     c = lambda name: F.col(prefix + name)
@@ -89,12 +107,12 @@ def count_error(prefix: str = "") -> Column:
     )
 
 
-def line_readability(docs: DataFrame, *, text: str = "text", version: int = 5) -> DataFrame:
+def line_readability(docs: DataFrame, *, text: str = "text", version: int = 5, batches: bool = False) -> DataFrame:
     """Readability of plain documents whose lines are blocks: the columns of
     ``docs`` but the text, counts, metrics and ``sentences_per_paragraph``."""
     kept = [c for c in docs.columns if c != text]
     blocks = docs.select(*kept, sentences.line_blocks(F.coalesce(F.col(text), F.lit(""))).alias("_blocks"))
-    made = with_counts(blocks, "_blocks", content="_blocks", version=version).drop("_blocks")
+    made = with_counts(blocks, "_blocks", content="_blocks", version=version, batches=batches).drop("_blocks")
     return made.withColumns(metric_columns() | {"sentences_per_paragraph": F.try_divide(F.col("sentence_count"), F.col("paragraph_count"))})
 
 
