@@ -17,7 +17,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prosegauge import fixed
-from prosegauge.functions.chars import BLOCK, SENTENCE, UNITS, all_of, count_of, in_class, let, literal, one_of, strip
+from prosegauge.functions.chars import BLOCK, SENTENCE, UNITS, count_of, in_class, let, literal, one_of, strip
 
 _HIDDEN, _MARK = "\ue000", "\ufdd3"
 _W = f"[{fixed.WORD_CHARS}]"
@@ -41,11 +41,19 @@ def blocks_of(texts: Column) -> Column:
     return F.array_join(clean, BLOCK)
 
 
+def _joined_lines(clean: Column) -> Column:
+    return F.array_join(F.transform(F.split(clean, "\n"), lambda t: strip(t)), BLOCK)
+
+
+def all_line_blocks(text: Column) -> Column:
+    """One text whose blocks are the lines of ``text``, in their places (blank ones are empty)."""
+    return _joined_lines(_unmarked(text))
+
+
 def line_blocks(text: Column) -> Column:
     """One text whose blocks are the lines of ``text`` (blank ones stay empty)."""
-    clean = strip(_unmarked(text))
     # blank lines at a place where several stand are one mark
-    return F.regexp_replace(F.array_join(F.transform(F.split(clean, "\n"), lambda t: strip(t)), BLOCK), rf"{BLOCK}{{2,}}", BLOCK)
+    return F.regexp_replace(_joined_lines(strip(_unmarked(text))), rf"{BLOCK}{{2,}}", BLOCK)
 
 
 def protected(text: Column) -> Column:
@@ -94,7 +102,9 @@ def fragment_count(of_marked: Column) -> Column:
 
 def sentence_array(of_marked: Column) -> Column:
     """Array of the sentences of all blocks."""
-    return F.transform(all_of(of_marked, rf"([^{UNITS}]+)\x{{FDD2}}", 1), lambda s: strip(s))
+    # cut at the marks: a pattern for what stands before one would run to the end of a fragment from each of its places
+    pieces = F.split(F.replace(only_sentences(of_marked), F.lit(BLOCK), F.lit("")), SENTENCE)
+    return F.transform(F.filter(pieces, lambda s: s != ""), lambda s: strip(s))
 
 
 def sentences(block: Column) -> Column:
@@ -102,7 +112,12 @@ def sentences(block: Column) -> Column:
     return sentence_array(marked(strip(block)))
 
 
+def fragment(marked_block: Column) -> Column:
+    """What follows the last sentence of one block."""
+    return strip(F.element_at(F.split(marked_block, SENTENCE), -1))
+
+
 def fragments(block: Column) -> Column:
     """Array of the fragment of one block, or empty."""
-    last = strip(F.element_at(F.split(marked(strip(block)), SENTENCE), -1))
+    last = fragment(marked(strip(block)))
     return F.when(last == "", F.array().cast("array<string>")).when(last.isNotNull(), F.array(last))

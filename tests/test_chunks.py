@@ -1,13 +1,17 @@
 """Counts of batches of texts against the slow reading and against the built-in expressions."""
 
 import sys
+import time
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 sys.path.insert(0, str(Path(__file__).parent))
 import slow  # noqa: E402
-from test_text import random_texts  # noqa: E402
+from test_text import column, random_texts  # noqa: E402
 
-from prosegauge.functions import chunks, passive  # noqa: E402
+from prosegauge.functions import chunks, passive, sentences  # noqa: E402
+from prosegauge.functions.chars import BLOCK, SENTENCE  # noqa: E402
 from prosegauge.operators import measure  # noqa: E402
 from prosegauge.plans import fixtures, queries  # noqa: E402
 
@@ -41,3 +45,15 @@ def test_readability_queries_count_in_batches(spark, tmp_path):
     for name in ("doc_readability", "readability_by_lang", "readability_by_source", "token_counts_by_doc", "passive_version_diff"):
         plan = queries.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" in plan and "UnknownPartitioning" not in plan, name
+
+
+def test_unfinished_lines_cost_no_more_than_their_length(spark):
+    text = "Done. " + "word " * 60_000
+    began = time.perf_counter()
+    assert column(spark, [text], sentences.sentences) == [["Done."]]
+    assert time.perf_counter() - began < 20  # minutes when each place was searched to the end
+
+
+def test_sentences_of_several_blocks(spark):
+    marked = F.lit(f"One.{SENTENCE} Two!{SENTENCE} left{BLOCK}only left{BLOCK}{BLOCK}Three.{SENTENCE}")
+    assert column(spark, ["x"], lambda x: sentences.sentence_array(marked)) == [["One.", "Two!", "Three."]]
