@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from prosegauge import __version__, fixed
 from prosegauge.errors import AdapterContractError, AnalysisError, InputError
 from prosegauge.errors import GaugeError
-from prosegauge.functions import sentences, tokens
+from prosegauge.functions import chunks, sentences, tokens
 from prosegauge.functions.chars import half_even, strip
 from prosegauge.operators import measure, pages, reflow, selection
 from prosegauge.operators.reliability import reliability
@@ -42,11 +42,6 @@ def _texts(segments: Column) -> Column:
     return F.transform(segments, lambda s: s["text"])
 
 
-def _word_total(text: Column) -> Column:
-    """Words of segments joined by line feeds (each may see the next one's start)."""
-    return F.size(tokens.tokens(text)).cast("bigint")
-
-
 def flat_reflow(documents: DataFrame) -> DataFrame:
     """Documents of flat pages with their lines joined to blocks, and ``reflow``."""
     blocks = reflow.joined_blocks(exploded(documents, "doc_id"))
@@ -71,7 +66,8 @@ def measure_documents(documents: DataFrame, profile: Profile, *, estimate: str =
     read = F.when(~F.col("readability_unable"), selection.selected_array(segments, read_rule.include))
     docs = docs.select(*kept, "content_unable", "readability_unable", content.alias("_content"), read.alias("_read"))
     if is_estimate:  # unknown segments without any word are no part of the sentence scope
-        words = lambda s: F.size(tokens.tokens(s["text"])) > 0
+        # any ASCII letter is part of a word
+        words = lambda s: s["text"].rlike("[A-Za-z]") | (F.size(tokens.tokens(s["text"])) > 0)
         docs = docs.withColumn("_read", F.filter("_read", lambda s: (s["role"] != "unknown") | words(s)))
     known = lambda c: F.filter(c, lambda s: s["role"] != "unknown")
     text = {"_content_text": sentences.blocks_of(_texts(F.col("_content"))), "_read_text": sentences.blocks_of(_texts(F.col("_read")))}
@@ -79,15 +75,18 @@ def measure_documents(documents: DataFrame, profile: Profile, *, estimate: str =
         text |= {
             "_known_content": sentences.blocks_of(_texts(known(F.col("_content")))),
             "_known_read": sentences.blocks_of(_texts(known(F.col("_read")))),
-            "_unknown_words": _word_total(F.array_join(_texts(F.filter(segments, lambda s: s["role"] == "unknown")), "\n")),
-            "_total_words": _word_total(F.array_join(_texts(segments), "\n")),
+            # words of segments joined by line feeds (each may see the next one's start)
+            "_unknown_words": F.array_join(_texts(F.filter(segments, lambda s: s["role"] == "unknown")), "\n"),
+            "_total_words": F.array_join(_texts(segments), "\n"),
         }
     docs = docs.withColumns(text)
-    made = measure.with_counts(docs, "_read_text", content="_content_text", version=version)
+    if is_estimate:
+        docs = docs.withColumns({name: chunks.total_struct(F.col(name))["words"] for name in ("_unknown_words", "_total_words")})
+    made = measure.with_counts(docs, "_read_text", content="_content_text", version=version, batches=True)
     made = made.withColumns(measure.metric_columns())
     error = measure.count_error()
     if is_estimate:
-        made = measure.with_counts(made, "_known_read", content="_known_content", version=version, prefix="known_")
+        made = measure.with_counts(made, "_known_read", content="_known_content", version=version, prefix="known_", batches=True)
         made = made.withColumns(measure.metric_columns("known_"))
         error = F.coalesce(error, measure.count_error("known_"))
     failed = F.when(error.isNotNull(), F.struct(F.lit(AnalysisError.code).alias("code"), error.alias("message")))

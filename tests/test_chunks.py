@@ -42,7 +42,7 @@ def test_batches_count_as_expressions_do(spark):
 def test_readability_queries_count_in_batches(spark, tmp_path):
     rows = [(1, "Some words here. They were made.", "en", "a", 32)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    for name in ("doc_readability", "readability_by_lang", "readability_by_source", "token_counts_by_doc", "passive_version_diff"):
+    for name in ("doc_readability", "readability_by_lang", "readability_by_source", "metric_results", "reliability_levels", "token_counts_by_doc", "passive_version_diff"):
         plan = queries.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
         assert "ArrowEvalPython" in plan and "UnknownPartitioning" not in plan, name
 
