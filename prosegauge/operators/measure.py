@@ -29,7 +29,7 @@ def with_counts(df: DataFrame, readability: str, *, content: str | None = None,
     ``version`` None leaves passive sentences out.
     """
     if batches:
-        return _with_batch_counts(df, readability, content, version, prefix)
+        return with_batch_counts(df, {prefix: (readability, content)}, version=version)
     kept = df.columns
     p = prefix
     long = lambda c, name: c.cast("long").alias(p + name)
@@ -64,19 +64,32 @@ def with_counts(df: DataFrame, readability: str, *, content: str | None = None,
     )
 
 
-def _with_batch_counts(df: DataFrame, readability: str, content: str | None, version: int | None, p: str) -> DataFrame:
-    kept = df.columns
+def with_batch_counts(df: DataFrame, scopes: dict[str, tuple[str, str | None]], *, version: int | None = 5, words: tuple[str, ...] = ()) -> DataFrame:
+    """``with_counts`` of several scopes (by prefix: readability and content), and columns
+    ``words`` as numbers of words, by one pass through the workers."""
+    kept = [c for c in df.columns if c not in words]
     text = lambda name: F.coalesce(F.col(name), F.lit(""))
-    marked = sentences.marked(text(readability)).alias("_marked")
-    x = df.select(*kept, *([text(content).alias("_own_content")] if content else []), marked)
-    own = [chunks.total_struct(F.col("_own_content")).alias("_own")] if content else []
-    x = x.select(*kept, *own, chunks.count_struct(F.col("_marked")).alias("_counts"))
-    counts = F.col("_counts")
-    made = {name: counts[name] for name in chunks.COUNTS}
-    if version:
-        made["passive_sentence_count"] = passive.passive_count(passive.canonical(counts["may_be_passive"]), version).cast("long")
-    words = [F.col("_own")["words"].alias(p + "word_count")] if content else []
-    return x.select(*kept, *words, *[made[name].alias(p + name) for name in COUNTS if name in made])
+    contents = {p: content for p, (_, content) in scopes.items() if content}
+    x = df.select(
+        *df.columns,
+        *[text(content).alias(f"_made_{p}content") for p, content in contents.items()],
+        *[sentences.marked(text(readability)).alias(f"_made_{p}marked") for p, (readability, _) in scopes.items()],
+    )
+    x = x.select(
+        *kept,
+        *[chunks.total_struct(F.col(name)).alias(name) for name in words],
+        *[chunks.total_struct(F.col(f"_made_{p}content")).alias(f"_made_{p}own") for p in contents],
+        *[chunks.count_struct(F.col(f"_made_{p}marked")).alias(f"_made_{p}counts") for p in scopes],
+    )
+    made = [F.col(name)["words"].alias(name) for name in words]
+    for p in scopes:
+        counts = F.col(f"_made_{p}counts")
+        found = {name: counts[name] for name in chunks.COUNTS}
+        if version:
+            found["passive_sentence_count"] = passive.passive_count(passive.canonical(counts["may_be_passive"]), version).cast("long")
+        own = [F.col(f"_made_{p}own")["words"].alias(p + "word_count")] if p in contents else []
+        made += own + [found[name].alias(p + name) for name in COUNTS if name in found]
+    return x.select(*kept, *made)
 
 
 def metric_columns(prefix: str = "", passive_count: bool = True) -> dict[str, Column]:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from prosegauge import __version__, fixed
 from prosegauge.errors import AdapterContractError, AnalysisError, InputError
 from prosegauge.errors import GaugeError
-from prosegauge.functions import chunks, sentences, tokens
+from prosegauge.functions import sentences, tokens
 from prosegauge.functions.chars import half_even, strip
 from prosegauge.operators import measure, pages, reflow, selection
 from prosegauge.operators.reliability import reliability
@@ -80,15 +80,11 @@ def measure_documents(documents: DataFrame, profile: Profile, *, estimate: str =
             "_total_words": F.array_join(_texts(segments), "\n"),
         }
     docs = docs.withColumns(text)
-    if is_estimate:
-        docs = docs.withColumns({name: chunks.total_struct(F.col(name))["words"] for name in ("_unknown_words", "_total_words")})
-    made = measure.with_counts(docs, "_read_text", content="_content_text", version=version, batches=True)
-    made = made.withColumns(measure.metric_columns())
-    error = measure.count_error()
-    if is_estimate:
-        made = measure.with_counts(made, "_known_read", content="_known_content", version=version, prefix="known_", batches=True)
-        made = made.withColumns(measure.metric_columns("known_"))
-        error = F.coalesce(error, measure.count_error("known_"))
+    scopes = {"": ("_read_text", "_content_text")} | ({"known_": ("_known_read", "_known_content")} if is_estimate else {})
+    made = measure.with_batch_counts(docs, scopes, version=version, words=("_unknown_words", "_total_words") if is_estimate else ())
+    for prefix in scopes:
+        made = made.withColumns(measure.metric_columns(prefix))
+    error = F.coalesce(*[measure.count_error(prefix) for prefix in scopes])
     failed = F.when(error.isNotNull(), F.struct(F.lit(AnalysisError.code).alias("code"), error.alias("message")))
     made = made.withColumn("error", F.coalesce("error", failed))
     return made.drop("_content", "_read", "_content_text", "_read_text", "_known_content", "_known_read")
@@ -293,9 +289,10 @@ def analysis_results(measured: DataFrame, profile: Profile, *, adapter=None, est
 def metric_rows(measured: DataFrame, profile: Profile, *, estimate: str = "none") -> DataFrame:
     """One row a document and metric."""
     rows = measured.withColumn("coverage_summary", _coverage())
-    metrics = F.array(*[_metric(profile, m, estimate) for m in fixed.METRICS])
-    # no filter: it would be pushed below the counts and bring a copy of them along
-    return rows.select("doc_id", F.explode(F.when(F.col("error").isNull(), metrics)).alias("m")).select("doc_id", "m.*")
+    # no filter before: it would be pushed below the counts and bring a copy of them along; and an array made here
+    # is exploded as it is, where one that may be null or empty would be made again for a filter that says it is not
+    metrics = F.array(*[F.when(F.col("error").isNull(), _metric(profile, m, estimate)) for m in fixed.METRICS])
+    return rows.select("doc_id", F.explode(metrics).alias("m")).where("m is not null").select("doc_id", "m.*")
 
 
 def plain_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -44,7 +44,9 @@ def test_readability_queries_count_in_batches(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("doc_readability", "readability_by_lang", "readability_by_source", "metric_results", "reliability_levels", "token_counts_by_doc", "passive_version_diff"):
         plan = queries.queries()[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
-        assert "ArrowEvalPython" in plan and "UnknownPartitioning" not in plan, name
+        assert "ArrowEvalPython" in plan, name
+        if name in ("metric_results", "reliability_levels"):
+            assert plan.count("ArrowEvalPython") == 1, name
 
 
 def test_unfinished_lines_cost_no_more_than_their_length(spark):
