@@ -33,7 +33,8 @@ def is_title(text: Column) -> Column:
 
 def is_page_number(text: Column) -> Column:
     ws = f"[{fixed.WS}]"
-    return casefold(text).rlike(rf"^(?:page{ws}+)?\p{{Nd}}+(?:{ws}+of{ws}+\p{{Nd}}+)?\z")
+    # only what ends with a digit is folded, as folding makes no digits
+    return text.rlike(r"\p{Nd}\z") & casefold(text).rlike(rf"^(?:page{ws}+)?\p{{Nd}}+(?:{ws}+of{ws}+\p{{Nd}}+)?\z")
 
 
 def is_contents_line(text: Column) -> Column:
@@ -48,8 +49,9 @@ def is_list_line(text: Column) -> Column:
 def is_heading_shape(text: Column) -> Column:
     words = count_of(text, "[A-Za-z]+")
     return (
-        words.between(1, fixed.HEADING_MAX_WORDS)
-        & (F.length(text) <= fixed.HEADING_MAX_CHARS)
+        # the length first, so that long lines are not cut to words
+        (F.length(text) <= fixed.HEADING_MAX_CHARS)
+        & words.between(1, fixed.HEADING_MAX_WORDS)
         & ~text.rlike(r"[.?!;:]\z")
         & (is_title(text) | is_upper(text))
     )

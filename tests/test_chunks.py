@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import slow  # noqa: E402
 from test_text import column, random_texts  # noqa: E402
 
-from prosegauge.functions import chunks, passive, sentences  # noqa: E402
+from prosegauge.functions import chunks, lines, passive, sentences  # noqa: E402
 from prosegauge.functions.chars import BLOCK, SENTENCE  # noqa: E402
 from prosegauge.operators import measure  # noqa: E402
 from prosegauge.plans import fixtures, queries  # noqa: E402
@@ -58,3 +58,13 @@ def test_unfinished_lines_cost_no_more_than_their_length(spark):
 def test_sentences_of_several_blocks(spark):
     marked = F.lit(f"One.{SENTENCE} Two!{SENTENCE} left{BLOCK}only left{BLOCK}{BLOCK}Three.{SENTENCE}")
     assert column(spark, ["x"], lambda x: sentences.sentence_array(marked)) == [["One.", "Two!", "Three."]]
+
+
+def test_long_lines_are_not_cut_to_words_for_their_role(spark):
+    docs = spark.createDataFrame([("Page ４ of 9",), ("PAGE 4",), ("4",), ("ﬁne 4",), ("Page four",), ("A Heading",), ("A" * 81,), (None,)], "text string")
+    rows = docs.select("text", lines.is_page_number(F.col("text")).alias("number"), lines.is_heading_shape(F.col("text")).alias("heading"))
+    assert [(r["number"], r["heading"]) for r in rows.collect()] == [
+        (True, False), (True, True), (True, False), (False, False), (False, False), (False, True), (False, False), (None, None)
+    ]
+    heading = str(lines.is_heading_shape(F.col("text")))
+    assert heading.index("length") < heading.index("regexp_count")
