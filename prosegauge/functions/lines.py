@@ -13,8 +13,8 @@ _CASED = r"[\p{IsUppercase}\p{IsLowercase}\p{Lt}]"
 
 def normalized(text: Column) -> Column:
     """White space runs as one space, none at the ends."""
-    # a single space, as most runs are, stays without being replaced by itself
-    return strip(F.regexp_replace(text, f" [{fixed.WS}]++|(?! )[{fixed.WS}]++", " "))
+    # a single space, as most runs are, stays without being replaced by itself; one range rules out most other characters
+    return strip(F.regexp_replace(text, f" (?![!-~])[{fixed.WS}]++|(?![ -~])[{fixed.WS}]++", " "))
 
 
 def edge_key(text: Column) -> Column:

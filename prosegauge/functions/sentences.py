@@ -69,7 +69,9 @@ def protected(text: Column) -> Column:
     def addresses(x: Column) -> Column:
         pieces = F.split(F.regexp_replace(x, f"({_WITH_DOTS})", f"{_MARK}$1{_MARK}"), _MARK)
         hidden = F.array_join(F.transform(pieces, lambda p, k: F.when(k % 2 == 1, F.translate(p, ".", _HIDDEN)).otherwise(p)), "")
-        return F.when(x.rlike(rf"://|www\.|@|[A-Za-z]\.[A-Za-z]\."), hidden).otherwise(x)
+        # each search is for one fixed string, or stops at dots only
+        any_of = x.contains("://") | x.contains("www.") | x.contains("@") | x.rlike(r"\.(?<=[A-Za-z]\.)(?=[A-Za-z]\.)")
+        return F.when(any_of, hidden).otherwise(x)
 
     # the longer ways are only taken by texts that need them
     x = let(let(F.regexp_replace(text, r"\.(?<=\p{Nd}\.)(?=\p{Nd})", _HIDDEN), listed), addresses)

@@ -1,6 +1,7 @@
 """Text functions against hand-made values and an independent slow reading."""
 
 import random
+import re
 import sys
 from pathlib import Path
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import slow  # noqa: E402
 
+from prosegauge import fixed  # noqa: E402
 from prosegauge.functions import lines, passive, sentences, tokens, v1  # noqa: E402
 from prosegauge.functions.chars import casefold, fold, half_even  # noqa: E402
 from prosegauge.plans import fixtures  # noqa: E402
@@ -155,3 +157,11 @@ def test_syllable_breakdown(spark):
         ("jane@x.org", 1 + 1 + 1, 1, "electronic_v1_components"),
         ("schedule", 2, 1, "exception"),
     ]
+
+
+def test_normalized_white_space_of_every_kind(spark):
+    spaces = [c for c in map(chr, range(0x3100)) if c in fixed.WHITESPACE]
+    runs = spaces + [a + b for a in spaces for b in (" ", "\n", " ", "\x1c")] + [" ", "  ", "   ", " \t ", "\t \t", "   "]
+    texts = [f"{r}a{r}é~!{r}​b{r}" for r in runs] + ["", " ", "\x1f\x85", "a b", "İ K­"]
+    own = f"[{''.join(map(re.escape, fixed.WHITESPACE))}]+"
+    assert column(spark, texts, lines.normalized) == [re.sub(own, " ", t).strip(" ") for t in texts]
