@@ -24,7 +24,6 @@ through unless they bear the name of the score.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -36,7 +35,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructType
 
 from prosegauge.llm.batches import parts
-from prosegauge.runtime import cut
 
 PASSAGE = 512
 CLASSES = 16
@@ -199,19 +197,18 @@ def learn(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in parts([batch], 64):
-                texts = [t.as_py() or b"" for t in part.column(2).cast(pa.binary())]
-                bags = [encode(t) for t in texts]
+                bags = [encode(t.as_py()) for t in part.column(3).cast(pa.binary())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array([hashlib.md5(t).hexdigest() for t in texts]), pa.array([len(x) for x in bags], pa.int64()),
-                     pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())],
-                    names=["spot", "label", "tie", "n", "x"],
-                )
-
-    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    joined = own.join(F.broadcast(chosen), "_id").select("spot", "label", "_text")
-    bags = cut(joined.mapInArrow(encoded, "spot double, label int, tie string, n long, x binary").dropDuplicates(["spot", "tie"]))
+                    [*(part.column(k) for k in range(3)), pa.array([x.astype(np.float16).tobytes() for x in bags], pa.binary())],
+                    names=["spot", "label", "tie", "x"],
+                )
+
+    # lengths alone say which rows fit, so only those are encoded, and nothing is kept between the two readings
+    own = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("_text"))
+    passages = F.greatest(F.lit(1), F.ceil(F.octet_length("_text") / PASSAGE)).cast("long")
+    joined = own.join(F.broadcast(chosen), "_id").select("spot", "label", F.md5("_text").alias("tie"), "_text")
     left, taken = sample_passages, []
-    for r in bags.select("spot", "tie", "n").orderBy("spot", "tie").limit(sample_docs).collect():
+    for r in joined.select("spot", "tie", passages.alias("n")).dropDuplicates(["spot", "tie"]).orderBy("spot", "tie").limit(sample_docs).collect():
         if r["n"] <= left:
             left -= r["n"]
             taken.append((r["spot"], r["tie"]))
@@ -219,7 +216,9 @@ def learn(
         return Model(None)
     spots, ties = zip(*taken)
     wanted = docs.sparkSession.createDataFrame(pa.table({"spot": pa.array(spots, pa.float64()), "tie": pa.array(ties, pa.string())}))
-    got = sorted(bags.join(F.broadcast(wanted), ["spot", "tie"], "left_semi").collect(), key=lambda r: (r["spot"], r["tie"]))
+    fitting = joined.join(F.broadcast(wanted), ["spot", "tie"], "left_semi").select("spot", "label", "tie", "_text")
+    bags = fitting.mapInArrow(encoded, "spot double, label int, tie string, x binary").dropDuplicates(["spot", "tie"])
+    got = sorted(bags.collect(), key=lambda r: (r["spot"], r["tie"]))
     x = [np.frombuffer(bytes(r["x"]), dtype=np.float16).reshape(-1, WIDTH) for r in got]
     return fit(x, np.array([r["label"] for r in got], dtype=np.float64))
 

@@ -907,3 +907,14 @@ def test_empty_tables(empty):
     assert quality.score(empty, quality.Model(None)).count() == 0
     assert licenses.scan_licenses(empty.withColumnRenamed("source", "path")).count() == 0
     assert language_id.learn(empty.withColumnRenamed("source", "lang")) == {}
+
+
+def test_quality_learning_keeps_no_files(spark, monkeypatch):
+    """Which rows are learned from is known by their lengths, so nothing is kept between the two readings."""
+    docs = spark.createDataFrame([(k, "ab c. " * (k % 7) * 100 or None) for k in range(40)] + [(1, "ab c. " * 100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    monkeypatch.setattr(type(docs), "checkpoint", lambda *a, **b: pytest.fail("a checkpoint"))
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda bags, labels: seen.append(bags) or quality.Model(None))
+    quality.learn(docs, labels)
+    assert sorted(map(len, seen[0])) == sorted(max(1, -(-(k % 7 * 600) // quality.PASSAGE)) for k in range(40))
